@@ -1,0 +1,87 @@
+"""Equi-joins that stay balanced when one key holds a great share of the rows."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+_SALT = "_salt"
+_COPIES = "_copies"
+
+#: Copies of a lookup row, hence tasks that share its key if the lookup is shuffled.
+LOOKUP_COPIES = 16
+
+#: At most this many keys can hold more than their part of all rows.
+HOT_KEYS = 1000
+
+#: Keys with fewer rows than this are never worth splitting.
+HOT_ROWS = 1_000_000
+
+
+def lookup_join(
+    rows: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner", *, split_by: list[str]
+) -> DataFrame:
+    """Join rows to a narrow lookup with one row per key, such as the project pairs.
+
+    Each lookup row is copied a fixed number of times and a row picks its copy by a hash
+    of ``split_by``. A lookup under the broadcast threshold is still broadcast by Spark
+    and moves no rows; a larger one is shuffled with every key spread over many tasks.
+    Fits ``inner``, ``left``, ``left_semi`` and ``left_anti``.
+    """
+    salt = F.pmod(F.xxhash64(*split_by), F.lit(LOOKUP_COPIES)).cast("int")
+    copies = F.explode(F.sequence(F.lit(0), F.lit(LOOKUP_COPIES - 1)))
+    joined = rows.withColumn(_SALT, salt).join(
+        lookup.withColumn(_SALT, copies), [*on, _SALT], how
+    )
+    return joined.drop(_SALT)
+
+
+def split_join(
+    rows: DataFrame,
+    table: DataFrame,
+    on: list[str],
+    how: str = "left",
+    *,
+    split_by: list[str],
+    counts: DataFrame | None = None,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Join many rows to a large table that is unique on ``on``, splitting hot keys.
+
+    A key is hot when it has over ``hot_rows`` rows and over ``1 / HOT_KEYS`` of all rows,
+    so there are fewer than ``HOT_KEYS`` of them and their list can be broadcast. Rows of
+    a hot key are spread by a hash of ``split_by`` over copies of its one table row, in
+    proportion to its size; other keys are joined as they are. Null keys count as a key
+    here, so that rows without one are spread as well. ``counts`` saves a pass if the
+    number of rows per key (``on`` plus ``n``) is known already.
+    Fits ``inner``, ``left``, ``left_semi`` and ``left_anti``.
+    """
+    if counts is None:
+        counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+    part = counts.agg(F.greatest(F.sum("n") / HOT_KEYS, F.lit(hot_rows).cast("double")))
+    hot = (
+        counts.select(*on, "n")
+        .withColumn("_part", part.scalar())
+        .where(F.col("n") > F.col("_part"))
+        .select(
+            *[F.col(k).alias(f"_hot_{k}") for k in on],
+            F.ceil(F.col("n") / F.col("_part")).cast("int").alias(_COPIES),
+        )
+    )
+
+    def tagged(side: DataFrame) -> DataFrame:
+        same: Column = reduce(
+            lambda a, b: a & b, [side[k].eqNullSafe(F.col(f"_hot_{k}")) for k in on]
+        )
+        found = side.join(F.broadcast(hot), same, "left")
+        return found.drop(*[f"_hot_{k}" for k in on]).withColumn(
+            _COPIES, F.coalesce(_COPIES, F.lit(1))
+        )
+
+    spread = F.pmod(F.xxhash64(*split_by), F.col(_COPIES)).cast("int")
+    left = tagged(rows).withColumn(_SALT, spread).drop(_COPIES)
+    copies = F.explode(F.sequence(F.lit(0), F.col(_COPIES) - 1))
+    right = tagged(table).withColumn(_SALT, copies).drop(_COPIES)
+    return left.join(right, [*on, _SALT], how).drop(_SALT)
