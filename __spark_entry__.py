@@ -241,6 +241,11 @@ def _id_map(a: Archive) -> DataFrame:
     return identity.build_id_map(_owned(a), a["dst_after"])
 
 
+def _id_table(a: Archive) -> DataFrame:
+    """The id map as a table, for plans that read it more than once."""
+    return migration.stage(_id_map(a), "id_map")
+
+
 @_query(
     "q_id_map",
     """SELECT src_project, item_type, map_type, source_id, ordinal, destination_id
@@ -310,7 +315,7 @@ _REMAPPED = """
                source_id, new_id FROM ({_REMAPPED}) WHERE new_id IS NOT NULL""",
 )
 def _(a: Archive) -> DataFrame:
-    found = rewrite.resolve_references(a["refs"], _id_map(a)).where("new_id IS NOT NULL")
+    found = rewrite.resolve_references(a["refs"], _id_table(a)).where("new_id IS NOT NULL")
     return found.withColumn("ord", F.col("ord").cast("long"))
 
 
@@ -319,7 +324,7 @@ def _(a: Archive) -> DataFrame:
     f"SELECT project, item_type, id, map_type, source_id FROM ({_REMAPPED}) WHERE new_id IS NULL",
 )
 def _(a: Archive) -> DataFrame:
-    lost = rewrite.resolve_references(a["refs"], _id_map(a)).where("new_id IS NULL")
+    lost = rewrite.resolve_references(a["refs"], _id_table(a)).where("new_id IS NULL")
     return lost.select("project", "item_type", "id", "map_type", "source_id")
 
 
@@ -559,7 +564,7 @@ _EXPECTED = f"""
             ELSE TRUE END""",
 )
 def _(a: Archive) -> DataFrame:
-    plan, _ = migration.create_plan(a["src_items"], a["dst_before"], a["pm"], _id_map(a))
+    plan, _ = migration.create_plan(a["src_items"], a["dst_before"], a["pm"], _id_table(a))
     return plan.drop("target_path")
 
 
@@ -581,7 +586,7 @@ def _(a: Archive) -> DataFrame:
         FROM {{owned}} WHERE item_type = 'experiment' AND k % 19 = 0""",
 )
 def _(a: Archive) -> DataFrame:
-    return migration.create_plan(a["src_items"], a["dst_before"], a["pm"], _id_map(a))[1]
+    return migration.create_plan(a["src_items"], a["dst_before"], a["pm"], _id_table(a))[1]
 
 
 # ---------------------------------------------------------------- sharing
@@ -618,7 +623,7 @@ def _(a: Archive) -> DataFrame:
         WHERE v.dst_project <> o.dst_project""",
 )
 def _(a: Archive) -> DataFrame:
-    return sharing.share_plan(a["src_items"], a["pm"], _id_map(a))
+    return sharing.share_plan(a["src_items"], a["pm"], _id_table(a))
 
 
 @_query(
@@ -632,7 +637,7 @@ def _(a: Archive) -> DataFrame:
         WHERE v.dst_project <> 'D_' || v.home AND (o.dst_project IS NULL OR any_id IS NULL)""",
 )
 def _(a: Archive) -> DataFrame:
-    found = sharing.share_violations(a["src_items"], a["pm"], _id_map(a))
+    found = sharing.share_violations(a["src_items"], a["pm"], _id_table(a))
     return found.drop("check")
 
 
@@ -829,8 +834,8 @@ def _plans(a: Archive, **options) -> DataFrame:
             dst_users=a["usr_dst"],
             metadata=a["meta"],
             settings=settings,
-            src_files=a["files_src"],
-            dst_files=a["files_dst"],
+            src_files=a["nat_src"],
+            dst_files=a["nat_dst"],
         ),
         **options,
     )
@@ -844,7 +849,12 @@ def _plans(a: Archive, **options) -> DataFrame:
 _COMMON_COUNTS = """
     UNION ALL SELECT 'users', COUNT(*) FROM {usr_src} WHERE pos >= (SELECT COUNT(*) FROM {usr_dst})
     UNION ALL SELECT 'metadata', COUNT(*) FROM {meta} JOIN {pm} ON src_project = project
-    UNION ALL SELECT 'files', COUNT(*) FROM {files_src} JOIN {pm} ON src_project = project
+    UNION ALL SELECT 'files', COUNT(*) FROM {nat_src} s JOIN {pm} ON src_project = s.project
+        LEFT JOIN {nat_dst} d ON d.project = dst_project AND d.rel_path = s.rel_path
+        WHERE d.rel_path IS NULL AND NOT REGEXP_MATCHES(s.rel_path,
+            '(^|/)([^/]*[.]log|[.][^/]*|[^/]*[.]json)(/|$)')
+    UNION ALL SELECT 'transfer', COUNT(DISTINCT project) FROM {nat_src}
+        JOIN {pm} ON src_project = project
     UNION ALL SELECT 'failures', 4 * COUNT(*) FROM {pm}
     UNION ALL SELECT 'totals', COUNT(*) FROM {pm}
     UNION ALL SELECT 'config', COUNT(*) FROM (

@@ -13,7 +13,7 @@ _COPIES = "_copies"
 #: Copies of a lookup row, hence tasks that share its key if the lookup is shuffled.
 LOOKUP_COPIES = 16
 
-#: At most this many keys can hold more than their part of all rows.
+#: Keys that are split at most; any further one holds a smaller share than one in so many.
 HOT_KEYS = 1000
 
 #: Keys with fewer rows than this are never worth splitting.
@@ -32,10 +32,8 @@ def lookup_join(
     """
     salt = F.pmod(F.xxhash64(*split_by), F.lit(LOOKUP_COPIES)).cast("int")
     copies = F.explode(F.sequence(F.lit(0), F.lit(LOOKUP_COPIES - 1)))
-    joined = rows.withColumn(_SALT, salt).join(
-        lookup.withColumn(_SALT, copies), [*on, _SALT], how
-    )
-    return joined.drop(_SALT)
+    left = rows.select("*", salt.alias(_SALT))
+    return left.join(lookup.select("*", copies.alias(_SALT)), [*on, _SALT], how).drop(_SALT)
 
 
 def split_join(
@@ -50,38 +48,34 @@ def split_join(
 ) -> DataFrame:
     """Join many rows to a large table that is unique on ``on``, splitting hot keys.
 
-    A key is hot when it has over ``hot_rows`` rows and over ``1 / HOT_KEYS`` of all rows,
-    so there are fewer than ``HOT_KEYS`` of them and their list can be broadcast. Rows of
-    a hot key are spread by a hash of ``split_by`` over copies of its one table row, in
-    proportion to its size; other keys are joined as they are. Null keys count as a key
-    here, so that rows without one are spread as well. ``counts`` saves a pass if the
-    number of rows per key (``on`` plus ``n``) is known already.
+    Keys with over ``hot_rows`` rows are hot, or the largest ``HOT_KEYS`` of them: a key
+    beyond those holds under ``1 / HOT_KEYS`` of all rows and is joined like any other.
+    Their list is so short that it can be broadcast. Rows of a hot key are spread by a
+    hash of ``split_by`` over copies of its one table row, one for each ``hot_rows`` rows.
+    Null keys count as a key here, so that rows without one are spread as well. ``counts``
+    saves a pass if the number of rows per key (``on`` plus ``n``) is known already.
     Fits ``inner``, ``left``, ``left_semi`` and ``left_anti``.
     """
     if counts is None:
         counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
-    part = counts.agg(F.greatest(F.sum("n") / HOT_KEYS, F.lit(hot_rows).cast("double")))
     hot = (
-        counts.select(*on, "n")
-        .withColumn("_part", part.scalar())
-        .where(F.col("n") > F.col("_part"))
+        counts.where(F.col("n") > hot_rows)
+        .orderBy(F.desc("n"), *on)
+        .limit(HOT_KEYS)
         .select(
             *[F.col(k).alias(f"_hot_{k}") for k in on],
-            F.ceil(F.col("n") / F.col("_part")).cast("int").alias(_COPIES),
+            F.ceil(F.col("n") / hot_rows).cast("int").alias(_COPIES),
         )
     )
 
-    def tagged(side: DataFrame) -> DataFrame:
+    def tagged(side: DataFrame, salt: Column) -> DataFrame:
         same: Column = reduce(
             lambda a, b: a & b, [side[k].eqNullSafe(F.col(f"_hot_{k}")) for k in on]
         )
         found = side.join(F.broadcast(hot), same, "left")
-        return found.drop(*[f"_hot_{k}" for k in on]).withColumn(
-            _COPIES, F.coalesce(_COPIES, F.lit(1))
-        )
+        return found.select(*[side[c] for c in side.columns], salt.alias(_SALT))
 
-    spread = F.pmod(F.xxhash64(*split_by), F.col(_COPIES)).cast("int")
-    left = tagged(rows).withColumn(_SALT, spread).drop(_COPIES)
-    copies = F.explode(F.sequence(F.lit(0), F.col(_COPIES) - 1))
-    right = tagged(table).withColumn(_SALT, copies).drop(_COPIES)
+    copies = F.coalesce(_COPIES, F.lit(1))
+    left = tagged(rows, F.pmod(F.xxhash64(*split_by), copies).cast("int"))
+    right = tagged(table, F.explode(F.sequence(F.lit(0), copies - 1)))
     return left.join(right, [*on, _SALT], how).drop(_SALT)

@@ -10,6 +10,7 @@ from ferryline.functions.ids import id_namespace
 from ferryline.functions.paths import archive_path
 from ferryline.functions.uris import uri_mismatch
 from ferryline.functions.xmlio import parse_items
+from ferryline.model import clark
 from ferryline.operators.identity import across_projects
 from ferryline.operators.items import with_destination
 from ferryline.operators.joins import HOT_ROWS, split_join
@@ -174,6 +175,15 @@ def rewrite_items(
     ).drop("new_ids", "unmapped")
 
 
+def reconstruction_counts(items: DataFrame) -> DataFrame:
+    """Reconstructions per project that are dropped from documents and not migrated."""
+    held = F.filter(F.col("element.children"), lambda c: c["tag"] == clark("xnat:reconstructions"))
+    count = F.aggregate(held, F.lit(0), lambda n, c: n + F.size(c["kids"]))
+    return items.groupBy("project").agg(
+        F.coalesce(F.sum(count), F.lit(0)).alias("reconstructions")
+    )
+
+
 def rewrite_violations(rewritten: DataFrame) -> DataFrame:
     """The errors of :func:`rewrite_items`, one row each."""
     return rewritten.select(

@@ -137,6 +137,7 @@ def migration_plan(inputs: Inputs, *, files_only: bool = False) -> dict[str, Dat
         "users": users.users_to_create(inputs.src_users, inputs.dst_users),
         "metadata": metadata.metadata_columns(with_destination(inputs.metadata, pairs)),
         "files": files.files_to_copy(inputs.src_files, inputs.dst_files, pairs),
+        "transfer": files.transfer_stats(inputs.src_files, inputs.dst_files, pairs),
         "create": create,
         "failures": identity.running_failures(failures),
         "totals": identity.subject_totals(visited, pairs),

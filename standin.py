@@ -1,7 +1,7 @@
 """Archive tables derived from the given tables.
 
-Every view is one SQL text that Spark and DuckDB both run, with the tables it reads in
-braces. The archive it describes: customers are subjects, orders experiments, order lines
+Every view is one SQL text that Spark and DuckDB both run, but for the names of two
+functions, with the tables it reads in braces. The archive it describes: customers are subjects, orders experiments, order lines
 scans, events assessors; nations 0 to 19 are migrated. ``k`` is the number in an item's id
 and ``home`` the project that owns it.
 """
@@ -28,29 +28,24 @@ VIEWS = {
     "prj": """
         SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS project, n_name AS home, n_name AS id
         FROM {nation}""",
+    # Every seventh subject and every eleventh experiment is also shown in the next project.
     "subj": """
-        SELECT v.k, p.n_name AS project, h.n_name AS home,
-               'S' || CAST(v.k AS STRING) AS id, v.c_name AS label
-        FROM (SELECT c_custkey AS k, c_name, c_nationkey AS home, c_nationkey AS seen
-              FROM {customer}
-              UNION ALL
-              SELECT c_custkey AS k, c_name, c_nationkey AS home, (c_nationkey + 1) % 25 AS seen
-              FROM {customer} WHERE c_custkey % 7 = 0) v
-        JOIN {nation} h ON h.n_nationkey = v.home
-        JOIN {nation} p ON p.n_nationkey = v.seen""",
-    "ord": """
-        SELECT o_orderkey AS k, c_nationkey AS home, 'S' || CAST(c_custkey AS STRING) AS subject_id,
-               c_name AS subject_label, o_orderpriority AS xsi_type, o_orderdate
-        FROM {orders} JOIN {customer} ON c_custkey = o_custkey""",
+        SELECT k, 'NATION_' || CAST((home + shift) % 25 AS STRING) AS project,
+               'NATION_' || CAST(home AS STRING) AS home, 'S' || CAST(k AS STRING) AS id, label
+        FROM (SELECT c_custkey AS k, c_name AS label, c_nationkey AS home,
+                     EXPLODE(CASE WHEN c_custkey % 7 = 0 THEN ARRAY(0, 1) ELSE ARRAY(0) END)
+                         AS shift
+              FROM {customer}) shown""",
     "expt": """
-        SELECT v.k, p.n_name AS project, h.n_name AS home, 'O' || CAST(v.k AS STRING) AS id,
-               'E' || CAST(v.k AS STRING) AS label, v.xsi_type, v.subject_id, v.subject_label,
-               v.o_orderdate
-        FROM (SELECT *, home AS seen FROM {ord}
-              UNION ALL
-              SELECT *, (home + 1) % 25 AS seen FROM {ord} WHERE k % 11 = 0) v
-        JOIN {nation} h ON h.n_nationkey = v.home
-        JOIN {nation} p ON p.n_nationkey = v.seen""",
+        SELECT k, 'NATION_' || CAST((home + shift) % 25 AS STRING) AS project,
+               'NATION_' || CAST(home AS STRING) AS home, 'O' || CAST(k AS STRING) AS id,
+               'E' || CAST(k AS STRING) AS label, xsi_type,
+               'S' || CAST(c_custkey AS STRING) AS subject_id, subject_label, o_orderdate
+        FROM (SELECT o_orderkey AS k, c_custkey, c_name AS subject_label, c_nationkey AS home,
+                     o_orderpriority AS xsi_type, o_orderdate,
+                     EXPLODE(CASE WHEN o_orderkey % 11 = 0 THEN ARRAY(0, 1) ELSE ARRAY(0) END)
+                         AS shift
+              FROM {orders} JOIN {customer} ON c_custkey = o_custkey) shown""",
     "line": """
         SELECT l_orderkey, l_linenumber,
                LEAST(SUM(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END), 2) AS mr,
@@ -177,6 +172,13 @@ VIEWS = {
     "files_dst": """
         SELECT dst_project AS project, rel_path, length, checksum
         FROM {files_src} JOIN {fpm} ON src_project = project WHERE doc_id % 4 = 0""",
+    # The same files spread over the nations, for the migration as a whole.
+    "nat_src": """
+        SELECT 'NATION_' || CAST(doc_id % 25 AS STRING) AS project, rel_path, length, checksum
+        FROM {files_src}""",
+    "nat_dst": """
+        SELECT 'D_NATION_' || CAST(doc_id % 25 AS STRING) AS project, rel_path, length, checksum
+        FROM {files_src} WHERE doc_id % 4 = 0""",
     # What the catalogue lists: most files, some with an old checksum, and some long gone.
     "listed": """
         SELECT project, CASE WHEN doc_id % 9 = 0 THEN 'gone/' || rel_path ELSE rel_path END AS rel_path,
@@ -251,17 +253,23 @@ def _names(text: str) -> list[str]:
 
 def sql(text: str) -> str:
     """A query for DuckDB: the views it needs come before it as common table expressions."""
-    views = {**VIEWS, **ORACLE_ONLY}
+    known = {**VIEWS, **ORACLE_ONLY}
     opened: dict[str, str] = {}
 
     def open_up(part: str) -> str:
         for name in _names(part):
-            if name in views and name not in opened:
-                view = open_up(views[name])
+            if name in known and name not in opened:
+                view = open_up(known[name])
                 opened[name] = view
         return part.format_map({name: name for name in _names(part)})
 
     body = open_up(text)
+    # The two engines name these differently.
+    body, *views = [
+        part.replace("EXPLODE(", "UNNEST(").replace("ARRAY(", "LIST_VALUE(")
+        for part in (body, *opened.values())
+    ]
+    opened = dict(zip(opened, views, strict=True))
     parts = ",\n".join(f"{name} AS MATERIALIZED ({view})" for name, view in opened.items())
     return f"WITH {parts}\n{body}" if parts else body
 
