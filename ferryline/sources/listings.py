@@ -38,7 +38,7 @@ def read_resultset(spark: SparkSession, path: str | list[str], schema: str) -> D
 
 def read_array(spark: SparkSession, path: str | list[str], element: str) -> DataFrame:
     """One row per element of files that hold one JSON array each, with ``pos``."""
-    texts = spark.read.option("wholetext", True).text(path)
+    texts = spark.read.text(path, wholetext=True)
     items = F.posexplode(F.from_json("value", f"ARRAY<{element}>")).alias("pos", "item")
     return texts.select(items).select(F.col("pos").cast("long").alias("pos"), "item")
 
