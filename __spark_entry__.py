@@ -328,6 +328,11 @@ def _(a: Archive) -> DataFrame:
     return lost.select("project", "item_type", "id", "map_type", "source_id")
 
 
+def _documents(a: Archive) -> DataFrame:
+    """The items, spread out: the given tables are files that one task reads each."""
+    return a["src_items"].repartition("item_type", "experiment_id", "id")
+
+
 def _literal_attrs(**values) -> object:
     return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)])
 
@@ -564,7 +569,7 @@ _EXPECTED = f"""
             ELSE TRUE END""",
 )
 def _(a: Archive) -> DataFrame:
-    plan, _ = migration.create_plan(a["src_items"], a["dst_before"], a["pm"], _id_table(a))
+    plan, _ = migration.create_plan(_documents(a), a["dst_before"], a["pm"], _id_table(a))
     return plan.drop("target_path")
 
 
@@ -586,7 +591,7 @@ def _(a: Archive) -> DataFrame:
         FROM {{owned}} WHERE item_type = 'experiment' AND k % 19 = 0""",
 )
 def _(a: Archive) -> DataFrame:
-    return migration.create_plan(a["src_items"], a["dst_before"], a["pm"], _id_table(a))[1]
+    return migration.create_plan(_documents(a), a["dst_before"], a["pm"], _id_table(a))[1]
 
 
 # ---------------------------------------------------------------- sharing
@@ -824,7 +829,7 @@ def _plans(a: Archive, **options) -> DataFrame:
     plans = migration.migration_plan(
         migration.Inputs(
             project_map=a["pm"],
-            src_items=a["src_items"],
+            src_items=_documents(a),
             dst_items=a["dst_before"],
             dst_after=a["dst_after"],
             src_datatypes=a["dt_src"],

@@ -144,7 +144,12 @@ def document_errors(
 
 
 def rewrite_items(
-    items: DataFrame, project_map: DataFrame, id_map: DataFrame, *, bounded: bool = False
+    items: DataFrame,
+    project_map: DataFrame,
+    id_map: DataFrame,
+    *,
+    chosen: DataFrame | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """Rewrite item documents for the destination and list what stands in the way.
 
@@ -152,27 +157,37 @@ def rewrite_items(
     replaced and ``errors`` added; an item with errors cannot be created. Parse the items
     into a table first if they are many: the references are then read from two columns of
     it and no document is parsed twice.
+
+    ``chosen`` gives the items to rewrite, without their documents and with the columns of
+    :func:`~ferryline.operators.items.with_destination`. Choosing, resolving references
+    and putting both together then move ids only, and a document moves once.
     """
     if "element" not in items.columns:
         items = parse_items(items)
-    if "dst_project" not in items.columns:
-        items = with_destination(items, project_map)
     remapped = remap_references(items, id_map)
-    joined = with_item_key(items).join(remapped, ITEM_KEY, "left").drop("experiment_key")
+    if chosen is None:
+        joined = with_item_key(with_destination(items, project_map)).join(
+            remapped, ITEM_KEY, "left"
+        )
+    else:
+        documents = with_item_key(items).select(*ITEM_KEY, "element")
+        joined = (
+            with_item_key(chosen).join(remapped, ITEM_KEY, "left").join(documents, ITEM_KEY)
+        )
     paths = {
         "src_path": archive_path(F.col("src_archive"), F.col("project")),
         "dst_path": archive_path(F.col("dst_archive"), F.col("dst_project")),
     }
     titles = {c: F.col(c) for c in ("dst_project", "dst_secondary_id", "dst_name")}
     kind = F.col("item_type")
-    return joined.withColumns(
-        {
-            "element": rewritten_element(
-                kind, F.col("new_ids"), {**titles, **paths}, bounded=bounded
-            ),
-            "errors": document_errors(kind, F.col("unmapped"), **paths, bounded=bounded),
-        }
-    ).drop("new_ids", "unmapped")
+    kept = [c for c in joined.columns if c not in ("element", "experiment_key", "new_ids", "unmapped")]
+    return joined.select(
+        *kept,
+        rewritten_element(kind, F.col("new_ids"), {**titles, **paths}, bounded=bounded).alias(
+            "element"
+        ),
+        document_errors(kind, F.col("unmapped"), **paths, bounded=bounded).alias("errors"),
+    )
 
 
 def reconstruction_counts(items: DataFrame) -> DataFrame:

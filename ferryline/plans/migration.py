@@ -62,10 +62,11 @@ def create_plan(
         src_items = src_items.where(F.col("item_type") == "project")
     if "element" not in src_items.columns:
         src_items = stage(parse_items(src_items), "items")
-    missing = missing_targets(src_items, dst_items, project_map)
-    ready = rewrite_items(missing, project_map, id_map, bounded=bounded).where(
-        F.size("errors") == 0
-    )
+    facts = src_items.drop("element")
+    missing = missing_targets(facts, dst_items, project_map)
+    ready = rewrite_items(
+        src_items, project_map, id_map, chosen=missing, bounded=bounded
+    ).where(F.size("errors") == 0)
     plan = ready.select(
         "dst_project",
         "item_type",
@@ -74,8 +75,9 @@ def create_plan(
         "target_path",
         to_xml("element").alias("payload_xml"),
     )
-    owned = with_destination(owned_items(src_items), project_map)
-    return plan, rewrite_violations(rewrite_items(owned, project_map, id_map, bounded=bounded))
+    owned = with_destination(owned_items(facts), project_map)
+    checked = rewrite_items(src_items, project_map, id_map, chosen=owned, bounded=bounded)
+    return plan, rewrite_violations(checked)
 
 
 @dataclass
@@ -110,21 +112,22 @@ def migration_plan(inputs: Inputs, *, files_only: bool = False) -> dict[str, Dat
     """
     pairs, items = inputs.project_map, inputs.src_items
     after = inputs.dst_items if inputs.dst_after is None else inputs.dst_after
+    if files_only:
+        items = items.where(F.col("item_type") == "project")
     if "element" not in items.columns:
         items = stage(parse_items(items), "items")
-    visited = items.where(F.col("item_type") == "project") if files_only else items
+    facts = items.drop("element")
 
-    owned = with_destination(owned_items(visited.drop("element")), pairs)
+    owned = with_destination(owned_items(facts), pairs)
     resolved = identity.resolve_ids(owned, after)
     id_map = stage(identity.dedupe_id_map(resolved), "id_map")
-    create, rewrite_errors = create_plan(visited, inputs.dst_items, pairs, id_map)
+    create, rewrite_errors = create_plan(items, inputs.dst_items, pairs, id_map)
 
     missing = checks.missing_datatypes(inputs.src_datatypes, inputs.dst_datatypes)
-    experiments = with_destination(visited.where(F.col("item_type") == "experiment"), pairs)
+    experiments = with_destination(facts.where(F.col("item_type") == "experiment"), pairs)
     unsupported = checks.unsupported_experiments(experiments, inputs.schema_datatypes)
     aligned = users.align_users(inputs.src_users, inputs.dst_users)
     failures = identity.failure_counts(resolved, pairs)
-    shown = visited.drop("element")
     return {
         "violations": checks.all_violations(
             root_violations(pairs),
@@ -132,7 +135,7 @@ def migration_plan(inputs: Inputs, *, files_only: bool = False) -> dict[str, Dat
             checks.experiment_violations(unsupported),
             users.user_violations(aligned),
             rewrite_errors,
-            sharing.share_violations(shown, pairs, id_map),
+            sharing.share_violations(facts, pairs, id_map),
         ),
         "users": users.users_to_create(inputs.src_users, inputs.dst_users),
         "metadata": metadata.metadata_columns(with_destination(inputs.metadata, pairs)),
@@ -140,7 +143,7 @@ def migration_plan(inputs: Inputs, *, files_only: bool = False) -> dict[str, Dat
         "transfer": files.transfer_stats(inputs.src_files, inputs.dst_files, pairs),
         "create": create,
         "failures": identity.running_failures(failures),
-        "totals": identity.subject_totals(visited, pairs),
+        "totals": identity.subject_totals(facts, pairs),
         "config": configs.config_plan(inputs.settings, pairs),
         "id_map": id_map,
         "refresh": catalogs.refresh_paths(
@@ -152,5 +155,5 @@ def migration_plan(inputs: Inputs, *, files_only: bool = False) -> dict[str, Dat
                 split_by=["item_type", "experiment_label", "id"],
             )
         ),
-        "share": sharing.share_plan(shown, pairs, id_map),
+        "share": sharing.share_plan(facts, pairs, id_map),
     }
