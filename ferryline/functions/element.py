@@ -22,9 +22,11 @@ from ferryline.model import (
 
 def set_attr(attrs: Column, name: str, value: Column) -> Column:
     """Set an attribute in place, or add it at the end."""
-    changed = F.transform_values(attrs, lambda k, v: F.when(k == name, value).otherwise(v))
-    added = F.map_concat(attrs, F.create_map(F.lit(name), value))
-    return F.when(F.map_contains_key(attrs, name), changed).otherwise(added)
+    return F.map_zip_with(
+        attrs,
+        F.create_map(F.lit(name), value),
+        lambda key, old, new: F.when(key == name, new).otherwise(old),
+    )
 
 
 def drop_id_attr(attrs: Column, item_type: Column) -> Column:

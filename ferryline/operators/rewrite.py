@@ -116,14 +116,16 @@ def document_errors(
     item_type: Column, unmapped: Column, src_path: Column, dst_path: Column, *, bounded: bool = False
 ) -> Column:
     """``ARRAY<STRUCT<check, detail>>`` of what keeps a document from being rewritten."""
-    children = F.col("element.children")
-    uris = el.item_uris(children)
     known_root = src_path.isNotNull() & dst_path.isNotNull()
-    outside = F.filter(uris, lambda uri: uri_mismatch(uri, src_path, bounded=bounded))
 
     def when(condition: Column, check: str, detail: Column) -> Column:
         return F.when(condition, F.array(_error(check, detail)))
 
+    # With a root missing every location is an error, otherwise those outside are.
+    misplaced = F.filter(
+        el.item_uris(F.col("element.children")),
+        lambda uri: ~known_root | uri_mismatch(uri, src_path, bounded=bounded),
+    )
     parts = [
         when(F.col("element").isNull(), "malformed_document", F.lit(None)),
         when(id_namespace(item_type).isNull(), "type_has_no_ids", item_type),
@@ -134,9 +136,12 @@ def document_errors(
                 F.concat(ref["map_type"], F.lit(" "), F.coalesce(ref["source_id"], F.lit(""))),
             ),
         ),
-        when((F.size(uris) > 0) & ~known_root, "archive_unknown", F.lit(None)),
-        F.when(
-            known_root, F.transform(outside, lambda uri: _error("uri_outside_source", uri))
+        F.transform(
+            misplaced,
+            lambda uri: F.struct(
+                F.when(known_root, "uri_outside_source").otherwise("archive_unknown").alias("check"),
+                uri.alias("detail"),
+            ),
         ),
     ]
     empty = F.array().cast("ARRAY<STRUCT<check: STRING, detail: STRING>>")

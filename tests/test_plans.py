@@ -74,18 +74,6 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
-def test_plan_shape(spark, name):
-    """No cross joins, no single-task windows, and Python only where documents are read."""
-    plan = plan_of(entry.queries()[name](spark, SF_DIR))
-    assert "CartesianProduct" not in plan
-    assert "BroadcastNestedLoopJoin" not in plan
-    assert "BatchEvalPython" not in plan
-    documents = {"q_xml_roundtrip", "q_rewrite_violations", "q_plan_summary", "q_plan_files_only"}
-    if name not in documents:
-        assert "Python" not in plan and "MapInPandas" not in plan
-
-
 def test_scans_read_what_they_need(spark):
     plan = plan_of(entry.queries()["q_unsupported_experiments"](spark, SF_DIR))
     schemas = re.findall(r"ReadSchema: struct<([^>]*)>", plan)

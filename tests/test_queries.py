@@ -23,9 +23,21 @@ def test_flagship(spark):
     assert entry.entry(spark).columns == ["dst_project", "id", "label", "target_path"]
 
 
+# The queries that read or write documents, which takes Python.
+DOCUMENTS = {"q_xml_roundtrip", "q_rewrite_violations", "q_plan_summary", "q_plan_files_only"}
+
+
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query(spark, oracle, name):
+    """The result is that of the SQL, and the plan has no cross join or needless Python."""
     rows = entry.queries()[name](spark, SF_DIR)
     found = rows.collect()
     assert found, "a query should have something to show"
     assert differences(found, rows.columns, oracle.execute(entry.oracle_sql()[name])) == ""
+
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan
+    assert "BroadcastNestedLoopJoin" not in plan
+    assert "BatchEvalPython" not in plan
+    if name not in DOCUMENTS:
+        assert "Python" not in plan and "MapInPandas" not in plan
