@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ferryline.functions.xmlio import parse_xml
 from ferryline.model import ITEM_METADATA, SRC_ITEM, USER_PROFILE
+from ferryline.operators.joins import lookup_join, split_join
 
 
 def _resultset(schema: str) -> str:
@@ -77,7 +78,7 @@ def config_settings(tools: DataFrame, settings: DataFrame) -> DataFrame:
     and ``contents``. A tool listed twice is read twice, to the same effect.
     """
     order = tools.groupBy("project", "tool").agg(F.max("pos").alias("_tool_pos"))
-    rows = settings.join(order, ["project", "tool"])
+    rows = lookup_join(settings, order, ["project", "tool"], split_by=["path", "pos"])
     place = F.col("_tool_pos").cast("long") * (1 << 31) + F.col("pos")
     return rows.select("project", "tool", "path", "contents", place.alias("pos"))
 
@@ -126,10 +127,11 @@ def assemble_items(levels: dict[str, DataFrame]) -> DataFrame:
 
 
 def _look_up(rows: DataFrame, parents: DataFrame | None, on: list[str]) -> DataFrame:
+    """Add what the parents have and the rows lack; one parent may have very many rows."""
     if parents is None:
         return rows
     taken = [c for c in parents.columns if c in on or c not in rows.columns]
-    return rows.join(parents.select(*taken), on, "left")
+    return split_join(rows, parents.select(*taken), on, "left", split_by=["id"])
 
 
 def _conform(rows: DataFrame) -> DataFrame:
