@@ -26,8 +26,9 @@ def with_item_key(items: DataFrame) -> DataFrame:
 
 def item_references(items: DataFrame) -> DataFrame:
     """One row per reference of an item: key, ``ord``, ``map_type`` and ``source_id``."""
-    refs = F.explode(el.references(F.col("element.children"))).alias("ref")
-    return with_item_key(items).select(*ITEM_KEY, refs).select(*ITEM_KEY, "ref.*")
+    listed = "refs" if "refs" in items.columns else el.references(F.col("element.children"))
+    opened = with_item_key(items).select(*ITEM_KEY, F.explode(listed).alias("ref"))
+    return opened.select(*ITEM_KEY, "ref.*")
 
 
 def resolve_references(
@@ -160,8 +161,8 @@ def rewrite_items(
 
     Items come with ``element``, or with ``xml`` that is parsed here. ``element`` is
     replaced and ``errors`` added; an item with errors cannot be created. Parse the items
-    into a table first if they are many: the references are then read from two columns of
-    it and no document is parsed twice.
+    into a table first if they are many: the references are then read from a column of
+    their own and no document is parsed or read twice.
 
     ``chosen`` gives the items to rewrite, without their documents and with the columns of
     :func:`~ferryline.operators.items.with_destination`. Choosing, resolving references
@@ -185,7 +186,8 @@ def rewrite_items(
     }
     titles = {c: F.col(c) for c in ("dst_project", "dst_secondary_id", "dst_name")}
     kind = F.col("item_type")
-    kept = [c for c in joined.columns if c not in ("element", "experiment_key", "new_ids", "unmapped")]
+    used = ("element", "refs", "experiment_key", "new_ids", "unmapped")
+    kept = [c for c in joined.columns if c not in used]
     return joined.select(
         *kept,
         rewritten_element(kind, F.col("new_ids"), {**titles, **paths}, bounded=bounded).alias(

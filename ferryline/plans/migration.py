@@ -62,7 +62,7 @@ def create_plan(
         src_items = src_items.where(F.col("item_type") == "project")
     if "element" not in src_items.columns:
         src_items = stage(parse_items(src_items), "items")
-    facts = src_items.drop("element")
+    facts = src_items.drop("element", "refs")
     missing = missing_targets(facts, dst_items, project_map)
     ready = rewrite_items(
         src_items, project_map, id_map, chosen=missing, bounded=bounded
@@ -116,7 +116,7 @@ def migration_plan(inputs: Inputs, *, files_only: bool = False) -> dict[str, Dat
         items = items.where(F.col("item_type") == "project")
     if "element" not in items.columns:
         items = stage(parse_items(items), "items")
-    facts = items.drop("element")
+    facts = items.drop("element", "refs")
 
     owned = with_destination(owned_items(facts), pairs)
     resolved = identity.resolve_ids(owned, after)

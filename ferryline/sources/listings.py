@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ferryline.functions.xmlio import parse_xml
+from ferryline.functions.xmlio import parse_items
 from ferryline.model import ITEM_METADATA, SRC_ITEM, USER_PROFILE
 from ferryline.operators.joins import lookup_join, split_join
 
@@ -143,8 +143,8 @@ def _conform(rows: DataFrame) -> DataFrame:
 
 
 def with_document_facts(items: DataFrame) -> DataFrame:
-    """Fill owner and datatype from the documents, and keep these parsed as ``element``."""
-    parsed = items.withColumn("element", parse_xml("xml")).drop("xml")
+    """Fill owner and datatype from the documents, and keep these parsed."""
+    parsed = parse_items(items)
     attrs = F.col("element.attrs")
     kind = F.lit("{http://www.w3.org/2001/XMLSchema-instance}type")
     return parsed.withColumns(

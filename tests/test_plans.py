@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from ferryline.functions.xmlio import parse_items
+from ferryline.operators.rewrite import item_references
 from ferryline.plans import migration
 from standin import Archive
 
@@ -83,6 +85,18 @@ def test_scans_read_what_they_need(spark):
     assert "s_phone" not in plan
 
 
+def test_documents_are_parsed_once_and_references_read_alone(spark, tmp_path):
+    docs = spark.createDataFrame(
+        [("p", "scan", "1", "E", "<a/>")],
+        "project STRING, item_type STRING, id STRING, experiment_id STRING, xml STRING",
+    )
+    parsed = parse_items(docs)
+    assert len(re.findall(r"_parse_batches\(xml#\d+\)#\d+\]", plan_of(parsed))) == 1
+    parsed.write.parquet(str(tmp_path / "items"))
+    back = spark.read.parquet(str(tmp_path / "items"))
+    assert "element" not in plan_of(item_references(back))
+
+
 def test_library_runs_no_hidden_jobs():
     """No row is pulled to the driver by the library, but for the one that strict mode shows."""
     forbidden = {"collect", "toPandas", "toLocalIterator", "localCheckpoint", "rdd", "crossJoin"}
