@@ -34,6 +34,23 @@ from ferryline.plans import migration  # noqa: E402
 from ferryline.sources import listings, projects  # noqa: E402
 from standin import Archive, sql  # noqa: E402
 
+# The training-data operators and their pipeline; the archive queries do without them.
+_LLM: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_LLM_ORACLES: dict[str, str] = {}
+try:
+    from ferryline.llm import queries as _llm
+
+    _LLM |= _llm.QUERIES
+    _LLM_ORACLES |= _llm.ORACLE_SQL
+    import corpus_pipeline as _pipeline
+
+    _LLM["pipeline"] = _pipeline.run
+    if _pipeline.ORACLE_SQL is not None:
+        _LLM_ORACLES["pipeline"] = _pipeline.ORACLE_SQL
+except ImportError as error:
+    if error.name not in ("ferryline.llm", "ferryline.llm.queries", "corpus_pipeline"):
+        raise
+
 _QUERIES: dict[str, Callable[[Archive], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 
@@ -58,12 +75,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(function: Callable[[Archive], DataFrame]):
         return lambda spark, sf_dir: function(Archive(spark, sf_dir))
 
-    return {name: bind(function) for name, function in _QUERIES.items()}
+    return {name: bind(function) for name, function in _QUERIES.items()} | _LLM
 
 
 def oracle_sql() -> dict[str, str]:
     """Query name to its SQL."""
-    return {name: sql(text) for name, text in _ORACLES.items()}
+    return {name: sql(text) for name, text in _ORACLES.items()} | _LLM_ORACLES
 
 
 # ---------------------------------------------------------------- checks
