@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
+from typing import Any
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,19 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def share(spark: SparkSession, value: Any) -> Broadcast:
+    """A value of a bounded size for all tasks, see :func:`opened`.
+
+    With the classes it is made of, so that executors need not have the package.
+    """
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def opened(shared: Broadcast) -> Any:
+    """What :func:`share` was given."""
+    return pickle.loads(shared.value)
+
+
 class Scratch:
     """Tables in the shared folder that ``spark.checkpoint.dir`` names, gone after ``with``.
 

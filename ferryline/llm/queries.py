@@ -4,14 +4,42 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ferryline.llm import licenses, quality_rules, sharding
+from ferryline.llm import (
+    bpe,
+    caps,
+    licenses,
+    minhash,
+    mixing,
+    quality_rules,
+    sharding,
+    subword,
+    suffix_tree,
+    warc,
+)
 from ferryline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: The vocabulary of the encoding, of a fixed size.
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_derivatives(table(spark, sf_dir, "pages"))
+
+
+def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.scores(table(spark, sf_dir, "documents"))
+
+
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
@@ -20,15 +48,46 @@ def op5_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.share_ranks(spark, public_tokenizers.path(RANKS))
+    return bpe.digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
+def op8_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(table(spark, sf_dir, "documents"))
 
 
+def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subword.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op4_quality_rules, op5_shuffle_shards, op9_license_scan)
+    f.__name__: f
+    for f in (
+        op1_warc_derivatives,
+        op2_suffix_tree,
+        op3_minhash,
+        op4_quality_rules,
+        op5_shuffle_shards,
+        op6_bpe,
+        op7_mixture,
+        op8_cap_filters,
+        op9_license_scan,
+        op10_subword_quality,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_minhash": minhash.sql(),
     "op4_quality_rules": quality_rules.sql(),
+    "op8_cap_filters": caps.sql(),
     "op9_license_scan": licenses.sql(),
 }
