@@ -16,10 +16,12 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ferryline.llm.common import set_aside
+
 #: Pieces whose ids a task remembers, and the longest of them: memory only, never the result.
 REMEMBERED, LONGEST = 200_000, 64
 
@@ -114,23 +116,22 @@ def share_ranks(spark: SparkSession, path: str) -> Broadcast:
     return spark.sparkContext.broadcast(read_ranks(path))
 
 
-def _with(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([*[f for f in schema if f.name != name], T.StructField(name, kind)])
-
-
-def _map(rows: DataFrame, name: str, kind: T.DataType, make: Callable[[], Callable]) -> DataFrame:
-    """Replace the binary or list column ``_in`` by ``name``."""
-    rest = [c for c in rows.columns if c not in ("_in", name)]
+def _map(
+    rows: DataFrame, given: Column, name: str, kind: T.DataType, make: Callable[[], Callable]
+) -> DataFrame:
+    """Add ``name``, made of ``given`` by a function that each task makes for itself."""
+    rows, columns = set_aside(rows.drop(name).withColumn(name, given), (name,))
+    rest = [c for c in rows.columns if c != name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         convert = make()
         for batch in batches:
             kept = [batch.column(batch.schema.get_field_index(c)) for c in rest]
-            made = convert(batch.column(batch.schema.get_field_index("_in")))
+            made = convert(batch.column(batch.schema.get_field_index(name)))
             yield pa.RecordBatch.from_arrays([*kept, made], names=[*rest, name])
 
-    schema = _with(T.StructType([f for f in rows.schema if f.name != "_in"]), name, kind)
-    return rows.mapInArrow(run, schema)
+    schema = T.StructType([*[rows.schema[c] for c in rest], T.StructField(name, kind)])
+    return rows.mapInArrow(run, schema).select(*columns)
 
 
 def encode(
@@ -141,7 +142,7 @@ def encode(
     ``ranks`` comes from :func:`share_ranks`. Special tokens are ordinary text. A column
     named like ``ids`` is replaced. Nothing moves between tasks: a text is encoded where it is read.
     """
-    given = rows.withColumn("_in", F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    given = F.coalesce(F.col(text), F.lit("")).cast("binary")
 
     def make() -> Callable[[pa.Array], pa.Array]:
         convert = encoder(ranks.value, pattern)
@@ -156,14 +157,14 @@ def encode(
 
         return column
 
-    return _map(given, ids, T.ArrayType(T.IntegerType()), make)
+    return _map(rows, given, ids, T.ArrayType(T.IntegerType()), make)
 
 
 def decode(
     rows: DataFrame, ranks: Broadcast, *, ids: str = "ids", data: str = "decoded"
 ) -> DataFrame:
     """Add ``data``, the bytes the ids stand for; null ids have none. Unknown ids are errors."""
-    given = rows.withColumn("_in", F.coalesce(F.col(ids), F.array().cast("array<int>")))
+    given = F.coalesce(F.col(ids), F.array().cast("array<int>"))
 
     def make() -> Callable[[pa.Array], pa.Array]:
         tokens = {rank: token for token, rank in ranks.value.items()}
@@ -177,7 +178,7 @@ def decode(
 
         return column
 
-    return _map(given, data, T.BinaryType(), make)
+    return _map(rows, given, data, T.BinaryType(), make)
 
 
 def digests(documents: DataFrame, ranks: Broadcast, pattern: str) -> DataFrame:

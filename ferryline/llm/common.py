@@ -5,8 +5,12 @@ from __future__ import annotations
 import pickle
 import tempfile
 import uuid
+from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +35,37 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def set_aside(rows: DataFrame, used: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
+    """Rows with all columns but the used ones under names that nothing else has.
+
+    Also what selects the columns again as they were, whatever an operator added meanwhile.
+    """
+    names = {c: f"_aside_{i}" for i, c in enumerate(rows.columns) if c not in used}
+    again = [F.col(names.get(c, c)).alias(c) for c in rows.columns]
+    return rows.withColumnsRenamed(names), again
+
+
+def in_parts(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``most`` bytes of a column, so that tasks hold few words at once."""
+    sizes = pc.binary_length(batch.column(batch.schema.get_field_index(column)))
+    ends = np.cumsum(sizes.fill_null(0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
+#: Rows up to which a side of narrow rows is broadcast: some ten megabytes at most.
+FEW = 200_000
+
+
+def broadcast_if_few(rows: DataFrame) -> DataFrame:
+    """For narrow rows that are settled or kept: broadcast if they are few, counted first."""
+    return F.broadcast(rows) if rows.limit(FEW + 1).count() <= FEW else rows
+
+
 def share(spark: SparkSession, value: Any) -> Broadcast:
     """A value of a bounded size for all tasks, see :func:`opened`.
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ferryline.llm.common import set_aside
+
 # Notices as their licenses ask for them, by SPDX identifier.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -116,7 +118,7 @@ def scan_licenses(
     passage, have an empty array. A column named ``licenses`` is replaced.
     """
     templates = TEMPLATES if templates is None else templates
-    rows = documents.drop("licenses")
+    rows, columns = set_aside(documents.drop("licenses"), (text,))
     plain = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), _OTHER, " ")
     sizes = [
         len(set(zip(w, w[1:], strict=False)))
@@ -182,7 +184,7 @@ def scan_licenses(
         .withColumn("_passages", passages)
         .withColumn("_templates", _templates(templates, threshold))
         .withColumn("licenses", licenses)
-        .drop("_plain", "_passages", "_templates")
+        .select(*columns, "licenses")
     )
 
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferryline.llm.common import SPACE, Scratch, settled
+from ferryline.llm.common import SPACE, Scratch, in_parts, settled
 from ferryline.llm.linking import components, in_cells
 
 _MIX_1, _MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -132,7 +132,7 @@ def sketches(documents: DataFrame, settings: Settings) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in in_parts(whole, "text")):
             ids, texts = batch.columns
             counts, nodes, made = [], [], []
             for shingles in shingle_sets(texts, settings.width):
@@ -173,7 +173,7 @@ def confirmed(pairs: DataFrame, documents: DataFrame, settings: Settings, scratc
     wanted = scratch.keep(wanted, f"{name}-wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in in_parts(whole, "text")):
             ids, texts = batch.columns
             made = [s.tobytes() for s in shingle_sets(texts, settings.width)]
             yield pa.RecordBatch.from_arrays([ids, pa.array(made, pa.binary())], names=["id", "shingles"])

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferryline.llm.common import Scratch, settled, words
+from ferryline.llm.common import Scratch, broadcast_if_few, set_aside, settled, words
 
 #: Exponents tried at once, and how often: what is left is 1 / 17 ** 9 wide.
 TRIED, ROUNDS = 16, 9
@@ -111,9 +111,10 @@ def plan(
 ) -> tuple[DataFrame, DataFrame]:
     """Narrow rows of the documents, and what each block of them is to give.
 
-    The first has ``doc_id, source, n_tokens, _block, _order``; the second, one row for each
-    ``source, _block``, has the ``weight`` and ``share`` of the source, ``exponent``, ``_passes``
-    and ``_last``, the place in the permutation up to which one more copy is drawn.
+    The first, in ``scratch``, has ``doc_id, source, n_tokens``; the second, settled, has for each
+    ``source, _block`` the ``weight`` and ``share`` of the source, its ``_blocks``, the
+    ``exponent``, ``_passes`` and ``_last``, the place in the permutation up to which one more
+    copy is drawn.
     """
     narrow = scratch.keep(
         documents.select("doc_id", "source", token_count(F.col("text")).alias("n_tokens")), "narrow"
@@ -168,16 +169,15 @@ def plan(
         drawn,
         F.col("source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")),
         "left",
-    ).select("source", "_block", "share", "weight", F.lit(exponent).alias("exponent"), "_passes", "_last")
-    return narrow, scratch.keep(cuts, "cuts").join(
-        weighted.select(F.col("source").alias("_s"), "_blocks"),
-        F.col("source").eqNullSafe(F.col("_s")),
-    ).drop("_s")
+    ).drop("_s", "_b", "_rest")
+    numbers = weighted.select(F.col("source").alias("_s"), "_blocks")
+    blocks = cuts.join(numbers, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    return narrow, settled(blocks.withColumn("exponent", F.lit(exponent)))
 
 
 def _in_blocks(rows: DataFrame, blocks: DataFrame, seed: int) -> DataFrame:
     """Add the block and the place in its permutation, and the columns of ``blocks``."""
-    given = blocks.withColumnRenamed("source", "_s")
+    given = broadcast_if_few(blocks).withColumnRenamed("source", "_s")
     joined = rows.join(given, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     return joined.withColumns(
         {
@@ -191,7 +191,7 @@ def _copies(rows: DataFrame, blocks: DataFrame, seed: int) -> DataFrame:
     """Rows once for each time they are drawn, with ``epoch`` from 0."""
     by_source = blocks.select("source", "_blocks").distinct()
     placed = _in_blocks(rows, by_source, seed)
-    cuts = blocks.drop("_blocks").withColumnsRenamed({"source": "_s", "_block": "_b"})
+    cuts = broadcast_if_few(blocks.drop("_blocks").withColumnsRenamed({"source": "_s", "_block": "_b"}))
     joined = placed.join(
         cuts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b"))
     )
@@ -229,22 +229,14 @@ def mixture(
 
 
 def mixed_documents(
-    documents: DataFrame,
-    scratch: Scratch,
-    *,
-    target: Target = Target(),
-    seed: int = 1,
-    block_tokens: int = 500_000,
+    documents: DataFrame, *, target: Target = Target(), seed: int = 1, block_tokens: int = 500_000
 ) -> DataFrame:
     """The documents themselves, with all their columns, as often as they are drawn.
 
-    Reads tables in ``scratch``, so it must be written before that ends. Texts do not move
-    as long as the table of blocks is small enough to be broadcast by Spark's own rule.
+    See :func:`mixture`. Texts do not move while the blocks are few enough to be broadcast.
     """
-    _, blocks = plan(documents, scratch, target=target, seed=seed, block_tokens=block_tokens)
-    names = {c: f"_{i}_{c}" for i, c in enumerate(documents.columns) if c not in ("doc_id", "source")}
-    rows = documents.withColumnsRenamed(names).where(
-        token_count(F.col(names["text"])) > 0
-    )
-    drawn = _copies(rows, blocks, seed)
-    return drawn.select(*[F.col(names.get(c, c)).alias(c) for c in documents.columns])
+    with Scratch(documents.sparkSession) as scratch:
+        _, blocks = plan(documents, scratch, target=target, seed=seed, block_tokens=block_tokens)
+    rows, columns = set_aside(documents, ("doc_id", "source", "text"))
+    drawn = _copies(rows.where(token_count(F.col("text")) > 0), blocks, seed)
+    return drawn.select(*columns)

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferryline.llm.common import SPACE, words
+from ferryline.llm.common import SPACE, set_aside, words
 
 # Frequent short words of each language.
 COMMON_WORDS = {
@@ -243,7 +243,7 @@ def judge(documents: DataFrame, limits: Limits = Limits()) -> DataFrame:
     empty, null languages unknown. Columns of the same names are replaced. Repeated rows are judged
     alike; an empty table gives no rows.
     """
-    documents = documents.drop(*VERDICT)
+    documents, columns = set_aside(documents.drop(*VERDICT), ("text", "lang"))
     references = language_references(documents, limits)
     # At most one row for each language that has a word list, which is a parameter.
     counted = with_base(with_counts(documents, limits)).withColumns(_histograms(limits))
@@ -268,7 +268,7 @@ def judge(documents: DataFrame, limits: Limits = Limits()) -> DataFrame:
     )
     kept = ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))
     # far is null if one distance is null and the other within its limit: not far then.
-    return rows.withColumn("kept", kept).select(*documents.columns, *VERDICT)
+    return rows.withColumn("kept", kept).select(*columns, *VERDICT)
 
 
 def report(documents: DataFrame, limits: Limits = Limits()) -> DataFrame:

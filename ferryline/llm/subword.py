@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferryline.llm.common import opened, share
+from ferryline.llm.common import in_parts, opened, set_aside, share
 
 #: Distinct words a task remembers at most: memory only, never the result.
 REMEMBERED = 300_000
@@ -189,19 +189,20 @@ def score(documents: DataFrame, model: Model, *, text: str = "text") -> DataFram
     Only the text is looked at, the whole of it. A text that is null or has no words gets the
     score of the bias alone. Columns of these names are replaced.
     """
-    rows = documents.drop("score", "predicted").withColumn("_in", F.col(text).cast("binary"))
-    names = [c for c in rows.columns if c != "_in"]
+    rows = documents.drop("score", "predicted").withColumn("score", F.col(text).cast("binary"))
+    rows, columns = set_aside(rows, ("score",))
+    names = [c for c in rows.columns if c != "score"]
     shared = share(documents.sparkSession, model)  # of a fixed size
-    schema = documents.drop("score", "predicted").schema.add("score", "double")
+    schema = rows.drop("score").schema.add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rate = opened(shared).scorer()
-        for batch in batches:
-            found = rate(batch.column(batch.schema.get_field_index("_in")))
+        for batch in (part for whole in batches for part in in_parts(whole, "score")):
+            found = rate(batch.column(batch.schema.get_field_index("score")))
             kept = [batch.column(batch.schema.get_field_index(c)) for c in names]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(found)], names=[*names, "score"])
 
-    made = rows.mapInArrow(run, schema)
+    made = rows.mapInArrow(run, schema).select(*columns)
     return made.withColumn("predicted", (F.col("score") >= model.settings.threshold).cast("int"))
 
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferryline.llm.common import Scratch, opened, settled, share
+from ferryline.llm.common import Scratch, in_parts, opened, settled, share
 
 #: The end of a text; no word, since it is white space.
 END = b"\n"
@@ -152,7 +152,7 @@ def word_counts(texts: DataFrame, settings: Settings) -> DataFrame:
     """``key, form, n`` of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in in_parts(whole, "text")):
             codes, _, distinct = split_texts(batch.column(0))
             counts = np.bincount(codes, minlength=len(distinct))
             yield pa.RecordBatch.from_arrays(
@@ -174,7 +174,7 @@ def frequent_words(texts: DataFrame, keys: list[int]) -> list[bytes]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[bytes] = set()
-        for batch in batches:
+        for batch in (part for whole in batches for part in in_parts(whole, "text")):
             _, _, distinct = split_texts(batch.column(0))
             made = np.array([word_key(w) for w in distinct], np.int64)
             _, known = look_up(wanted, made)
@@ -220,7 +220,7 @@ def followers(texts: DataFrame, alphabet: Alphabet, length: int, keys: np.ndarra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, listed = opened(shared)
         sums = np.zeros(len(listed) * own.size, np.int64)
-        for batch in batches:
+        for batch in (part for whole in batches for part in in_parts(whole, "text")):
             codes, owner, distinct = split_texts(batch.column(0))
             symbols = own.symbols(distinct)[codes]
             places, numbers = contexts(symbols, owner, length, own.size)
@@ -301,7 +301,7 @@ def score_blocks(documents: DataFrame, words: DataFrame, tree: Tree) -> DataFram
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = opened(shared).alphabet.frequent
-        for batch in batches:
+        for batch in (part for whole in batches for part in in_parts(whole, "text")):
             texts = batch.column(batch.schema.get_field_index("text"))
             numbers = batch.column(batch.schema.get_field_index("block")).to_numpy()
             for number in np.unique(numbers):
