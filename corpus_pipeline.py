@@ -21,8 +21,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier takes for good ones; it learns from what is left."""
-    model = subword.fit(docs, table(spark, sf_dir, "labels"))
+    """Documents that the classifier takes for good ones.
+
+    It learns from the labelled documents as they came: what is left has few bad ones.
+    """
+    given = table(spark, sf_dir, "documents")
+    model = subword.fit(given, table(spark, sf_dir, "labels"))
     return subword.score(docs, model).where("predicted = 1").select(*docs.columns)
 
 

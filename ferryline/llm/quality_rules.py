@@ -9,6 +9,7 @@ little text in all is no reference.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -268,7 +269,14 @@ def judge(documents: DataFrame, limits: Limits = Limits()) -> DataFrame:
     )
     kept = ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))
     # far is null if one distance is null and the other within its limit: not far then.
-    return rows.withColumn("kept", kept).select(*columns, *VERDICT)
+    judged = rows.withColumn("kept", kept).select(*columns, *VERDICT)
+    # The figures are of use by themselves. Besides, filters are not pushed below them: one on
+    # the verdict would be spelt out in terms of the text, and all work done many times over.
+    return judged.observe(
+        f"quality_rules_{uuid.uuid4().hex}",
+        F.count(F.lit(1)).alias("judged"),
+        F.count_if("kept").alias("kept"),
+    )
 
 
 def report(documents: DataFrame, limits: Limits = Limits()) -> DataFrame:

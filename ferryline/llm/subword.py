@@ -1,8 +1,9 @@
 """A quality classifier: averaged vectors of words and character n-grams, and a softmax.
 
 Every word and every n-gram of its characters (the word between ``<`` and ``>``) has a
-learned vector in a table of hashed rows; a document is their mean, and a softmax over the classes
-is trained on it by stochastic gradient descent in numpy. After training a feature counts
+learned vector in a table of hashed rows, and so have all pairs of a word and itself together; a
+document is the mean of its vectors, padded with zeros if it is short, and a softmax over the
+classes is trained on it by stochastic gradient descent in numpy. After training a feature counts
 only through its projection on the difference of the two classes, so what is shipped to score
 a corpus is one number for each row of the table.
 """
@@ -26,7 +27,10 @@ REMEMBERED = 300_000
 
 @dataclass(frozen=True)
 class Settings:
-    """``max_rows`` bounds the labelled rows that are learned from, taken by a hash of their id."""
+    """``max_rows`` bounds the labelled rows that are learned from, taken by a hash of their id.
+
+    ``least`` : features of a document at least; a text of few words tells little.
+    """
 
     rows: int = 1 << 16
     width: int = 8
@@ -34,6 +38,7 @@ class Settings:
     longest: int = 4
     epochs: int = 8
     rate: float = 1.0
+    least: int = 60
     max_rows: int = 6000
     threshold: float = 0.3
     seed: int = 1
@@ -48,6 +53,11 @@ def features(word: bytes, settings: Settings) -> list[int]:
     return [zlib.crc32(f.encode("utf-8", "replace")) % settings.rows for f in found]
 
 
+def twice(settings: Settings) -> int:
+    """The row of a word that follows itself; no n-gram has white space in it."""
+    return zlib.crc32(b"< >") % settings.rows
+
+
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Words of all texts as places in the list of distinct ones, and where each text ends."""
     listed: list[bytes] = []
@@ -59,6 +69,17 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     return coded.indices.to_numpy(zero_copy_only=False), ends, coded.dictionary.to_pylist()
 
 
+def repeats(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many words of each text follow an equal one."""
+    same = np.zeros(len(codes) + 1, np.int64)
+    if len(codes):
+        equal = codes[1:] == codes[:-1]
+        first = ends[1:-1]  # the first word of a text follows none
+        equal[first[(first > 0) & (first < len(codes))] - 1] = False
+        np.cumsum(equal, out=same[2:])
+    return same[ends[1:]] - same[ends[:-1]]
+
+
 @dataclass
 class Model:
     """A trained classifier: ``weights`` of all rows and a ``bias``, for the log of the odds."""
@@ -91,14 +112,16 @@ class Model:
                 np.cumsum(per_word[codes, 1], out=counts[1:])
             total = sums[ends[1:]] - sums[ends[:-1]]
             number = counts[ends[1:]] - counts[ends[:-1]]
-            odds = total / np.maximum(number, 1) + self.bias
+            same = repeats(codes, ends)
+            total += same * float(self.weights[twice(self.settings)])
+            odds = total / np.maximum(number + same, self.settings.least) + self.bias
             return 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
 
         return score
 
 
 def train(examples: list[tuple[np.ndarray, np.ndarray, int]], settings: Settings) -> Model:
-    """Fit on (rows, shares, label) of documents; the shares of a document sum to 1.
+    """Fit on (rows, shares, label) of documents; the shares of a document sum to 1 at most.
 
     Without examples every score is 0.5; with one class alone, near that class's.
     """
@@ -158,15 +181,18 @@ def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()
             rows, shares = [], []
             for text in texts:
                 every: list[int] = []
-                for word in (text.as_py() or b"").split():
+                words = (text.as_py() or b"").split()
+                again = sum(a == b for a, b in zip(words, words[1:], strict=False))
+                for word in words:
                     if word not in known:
                         if len(known) >= REMEMBERED:
                             known.clear()
                         known[word] = features(word, settings)
                     every += known[word]
+                every += [twice(settings)] * again
                 distinct, counts = np.unique(np.array(every, np.int32), return_counts=True)
                 rows.append(distinct)
-                shares.append((counts / max(len(every), 1)).astype(np.float32))
+                shares.append((counts / max(len(every), settings.least)).astype(np.float32))
             yield pa.RecordBatch.from_arrays(
                 [ids, marks, pa.array(rows, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))],
                 names=["doc_id", "label", "rows", "shares"],
