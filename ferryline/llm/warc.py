@@ -22,6 +22,7 @@ from urllib.parse import urljoin
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What :func:`derive` needs: ``block`` is the whole HTTP response, head and body.
 RESPONSE = ["record_id", "target_uri", "date", "block"]
@@ -285,7 +286,7 @@ def serialised(record: dict, *, compress: bool = True) -> bytes:
 def with_archive_bytes(records: DataFrame, *, compress: bool = True) -> DataFrame:
     """Add ``warc``, each record as the bytes of an archive file. A column of that name goes."""
     records = records.drop("warc")
-    schema = records.schema.add("warc", "binary")
+    schema = T.StructType([*records.schema, T.StructField("warc", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
