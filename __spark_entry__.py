@@ -258,11 +258,6 @@ def _id_map(a: Archive) -> DataFrame:
     return identity.build_id_map(_owned(a), a["dst_after"])
 
 
-def _id_table(a: Archive) -> DataFrame:
-    """The id map as a table, for plans that read it more than once."""
-    return migration.stage(_id_map(a), "id_map")
-
-
 @_query(
     "q_id_map",
     """SELECT src_project, item_type, map_type, source_id, ordinal, destination_id
@@ -323,7 +318,8 @@ _REMAPPED = """
     SELECT r.*, COALESCE(m.destination_id, n.any_id) AS new_id FROM {refs} r
     LEFT JOIN {id_map} m ON m.src_project = r.project AND m.map_type = r.map_type
                         AND m.source_id = r.source_id
-    LEFT JOIN {id_any} n ON n.map_type = r.map_type AND n.source_id = r.source_id"""
+    LEFT JOIN {id_any} n ON n.map_type = r.map_type AND n.source_id = r.source_id
+                        AND r.map_type <> 'scan'"""
 
 
 @_query(
@@ -332,7 +328,7 @@ _REMAPPED = """
                source_id, new_id FROM ({_REMAPPED}) WHERE new_id IS NOT NULL""",
 )
 def _(a: Archive) -> DataFrame:
-    found = rewrite.resolve_references(a["refs"], _id_table(a)).where("new_id IS NOT NULL")
+    found = rewrite.resolve_references(a["refs"], _id_map(a)).where("new_id IS NOT NULL")
     return found.withColumn("ord", F.col("ord").cast("long"))
 
 
@@ -341,7 +337,7 @@ def _(a: Archive) -> DataFrame:
     f"SELECT project, item_type, id, map_type, source_id FROM ({_REMAPPED}) WHERE new_id IS NULL",
 )
 def _(a: Archive) -> DataFrame:
-    lost = rewrite.resolve_references(a["refs"], _id_table(a)).where("new_id IS NULL")
+    lost = rewrite.resolve_references(a["refs"], _id_map(a)).where("new_id IS NULL")
     return lost.select("project", "item_type", "id", "map_type", "source_id")
 
 
@@ -529,20 +525,8 @@ def _(a: Archive) -> DataFrame:
 
 
 _HEAD = "xmlns:xnat=\"http://nrg.wustl.edu/xnat\""
-_EXPECTED = f"""
-    SELECT o.*, COALESCE(sm.destination_id, sa.any_id) AS new_subject,
-           COALESCE(em.destination_id, ea.any_id) AS new_experiment,
-           COALESCE(cm.destination_id, ca.any_id) AS new_scan
-    FROM {{owned}} o
-    LEFT JOIN {{id_map}} sm ON sm.src_project = o.src_project AND sm.map_type = 'subject'
-        AND sm.source_id = o.subject_id
-    LEFT JOIN {{id_any}} sa ON sa.map_type = 'subject' AND sa.source_id = o.subject_id
-    LEFT JOIN {{id_map}} em ON em.src_project = o.src_project AND em.map_type = 'experiment'
-        AND em.source_id = o.experiment_id
-    LEFT JOIN {{id_any}} ea ON ea.map_type = 'experiment' AND ea.source_id = o.experiment_id
-    LEFT JOIN {{id_map}} cm ON cm.src_project = o.src_project AND cm.map_type = 'scan'
-        AND cm.source_id = '1'
-    LEFT JOIN {{id_any}} ca ON ca.map_type = 'scan' AND ca.source_id = '1'"""
+# Owned items with the ids their documents refer to; what is still to be created is pending.
+_EXPECTED = "SELECT * FROM {expected}"
 
 
 @_query(
@@ -555,11 +539,11 @@ _EXPECTED = f"""
             WHEN 'subject' THEN '<xnat:Subject {_HEAD} project="' || dst_project || '" label="'
                 || e.label || '" />'
             WHEN 'experiment' THEN '<xnat:MRSession {_HEAD} project="' || dst_project
-                || '"><xnat:subject_ID>' || new_subject || '</xnat:subject_ID><xnat:resources>'
+                || '"><xnat:subject_ID>' || COALESCE(new_subject, e.subject_id) || '</xnat:subject_ID><xnat:resources>'
                 || '<xnat:resource URI="/new/' || dst_project || '/r' || CAST(e.k AS VARCHAR)
                 || '" /></xnat:resources></xnat:MRSession>'
             WHEN 'scan' THEN '<xnat:' || tag || ' {_HEAD} ID="' || e.id || '" project="'
-                || dst_project || '"><xnat:image_session_ID>' || new_experiment
+                || dst_project || '"><xnat:image_session_ID>' || COALESCE(new_experiment, e.experiment_id)
                 || '</xnat:image_session_ID>'
                 || REPEAT('<xnat:modality>MR</xnat:modality>', CAST(mr AS INT))
                 || REPEAT('<xnat:modality>CT</xnat:modality>', CAST(ct AS INT))
@@ -567,11 +551,18 @@ _EXPECTED = f"""
                 || '<xnat:modality /><xnat:file URI="/new/' || dst_project || '/' || e.id
                 || '.dcm" /></xnat:' || tag || '>'
             ELSE '<xnat:Assessor {_HEAD} label="' || e.label || '" project="' || dst_project
-                || '"><xnat:imageSession_ID>' || new_experiment || '</xnat:imageSession_ID>'
-                || '<xnat:scanID>' || new_scan || '</xnat:scanID><xnat:in><xnat:file URI="/else" />'
+                || '"><xnat:imageSession_ID>' || COALESCE(new_experiment, e.experiment_id)
+                || '</xnat:imageSession_ID>'
+                || '<xnat:scanID>' || COALESCE(new_scan, '1') || '</xnat:scanID><xnat:in><xnat:file URI="/else" />'
                 || '</xnat:in><xnat:out><xnat:file URI="/new/' || dst_project
                 || '/a"><xnat:note q="1">t</xnat:note></xnat:file></xnat:out></xnat:Assessor>' END
-            AS payload_xml
+            AS payload_xml,
+            CASE e.item_type WHEN 'project' THEN 0 WHEN 'subject' THEN 1 WHEN 'experiment' THEN 2
+                ELSE 3 END AS level,
+            CASE WHEN CASE e.item_type WHEN 'experiment' THEN new_subject IS NULL
+                WHEN 'scan' THEN new_experiment IS NULL
+                WHEN 'assessor' THEN new_experiment IS NULL OR new_scan IS NULL ELSE FALSE END
+                THEN 'waiting' ELSE 'ready' END AS status
         FROM ({_EXPECTED}) e
         LEFT JOIN (SELECT project, experiment_id, id, mr, ct, xx,
                           CASE WHEN mr + ct + xx = 1 AND mr = 1 THEN 'MRScan'
@@ -580,14 +571,15 @@ _EXPECTED = f"""
             ON e.item_type = 'scan' AND s.project = e.project
                AND s.experiment_id = e.experiment_id AND s.id = e.id
         WHERE e.k % 3 <> 0 AND CASE e.item_type
-            WHEN 'experiment' THEN new_subject IS NOT NULL AND e.k % 19 <> 0
-            WHEN 'scan' THEN new_experiment IS NOT NULL
-            WHEN 'assessor' THEN new_experiment IS NOT NULL AND new_scan IS NOT NULL
+            WHEN 'experiment' THEN (new_subject IS NOT NULL OR due_subject) AND e.k % 19 <> 0
+            WHEN 'scan' THEN new_experiment IS NOT NULL OR due_experiment
+            WHEN 'assessor' THEN (new_experiment IS NOT NULL OR due_experiment)
+                AND (new_scan IS NOT NULL OR due_scan)
             ELSE TRUE END""",
 )
 def _(a: Archive) -> DataFrame:
-    plan, _ = migration.create_plan(_documents(a), a["dst_before"], a["pm"], _id_table(a))
-    return plan.drop("target_path")
+    plan, _ = migration.create_plan(_documents(a), a["dst_before"], a["pm"], _id_map(a))
+    return plan.drop("target_path", "pending")
 
 
 @_query(
@@ -596,19 +588,108 @@ def _(a: Archive) -> DataFrame:
                CASE item_type WHEN 'experiment' THEN 'subject ' || subject_id
                               ELSE 'experiment ' || experiment_id END AS detail
         FROM ({_EXPECTED}) e
-        WHERE CASE item_type WHEN 'experiment' THEN new_subject IS NULL
-                             WHEN 'scan' THEN new_experiment IS NULL
-                             WHEN 'assessor' THEN new_experiment IS NULL ELSE FALSE END
+        WHERE CASE item_type WHEN 'experiment' THEN new_subject IS NULL AND NOT due_subject
+                             WHEN 'scan' THEN new_experiment IS NULL AND NOT due_experiment
+                             WHEN 'assessor' THEN new_experiment IS NULL AND NOT due_experiment
+                             ELSE FALSE END
         UNION ALL
         SELECT 'unmapped_reference', project, item_type, id, 'scan 1' FROM ({_EXPECTED}) e
-        WHERE item_type = 'assessor' AND new_scan IS NULL
+        WHERE item_type = 'assessor' AND new_scan IS NULL AND NOT due_scan
         UNION ALL
         SELECT 'uri_outside_source', project, item_type, id,
                '/archive/lost/r' || CAST(k AS VARCHAR)
         FROM {{owned}} WHERE item_type = 'experiment' AND k % 19 = 0""",
 )
 def _(a: Archive) -> DataFrame:
-    return migration.create_plan(_documents(a), a["dst_before"], a["pm"], _id_table(a))[1]
+    return migration.create_plan(_documents(a), a["dst_before"], a["pm"], _id_map(a))[1]
+
+
+@_query(
+    "q_first_run",
+    """SELECT 'create' AS part, item_type, CASE item_type WHEN 'project' THEN 'ready'
+              WHEN 'subject' THEN 'ready' ELSE 'waiting' END AS detail, COUNT(*) AS n
+       FROM {owned} o
+       WHERE CASE item_type
+             WHEN 'experiment' THEN k % 19 <> 0 AND subject_id IN
+                 (SELECT id FROM {owned} WHERE item_type = 'subject')
+             WHEN 'scan' THEN experiment_id IN
+                 (SELECT id FROM {owned} WHERE item_type IN ('experiment', 'assessor'))
+             WHEN 'assessor' THEN experiment_id IN
+                 (SELECT id FROM {owned} WHERE item_type IN ('experiment', 'assessor'))
+                 AND project IN (SELECT project FROM {owned} WHERE item_type = 'scan' AND id = '1')
+             ELSE TRUE END
+       GROUP BY item_type
+       UNION ALL
+       SELECT 'violation', item_type, "check", COUNT(*) FROM (
+           SELECT item_type, 'uri_outside_source' AS "check" FROM {owned}
+           WHERE item_type = 'experiment' AND k % 19 = 0
+           UNION ALL
+           SELECT item_type, 'unmapped_reference' FROM {owned}
+           WHERE item_type = 'experiment'
+             AND subject_id NOT IN (SELECT id FROM {owned} WHERE item_type = 'subject')
+           UNION ALL
+           SELECT item_type, 'unmapped_reference' FROM {owned}
+           WHERE item_type IN ('scan', 'assessor') AND experiment_id NOT IN
+               (SELECT id FROM {owned} WHERE item_type IN ('experiment', 'assessor'))
+           UNION ALL
+           SELECT item_type, 'unmapped_reference' FROM {owned}
+           WHERE item_type = 'assessor' AND project NOT IN
+               (SELECT project FROM {owned} WHERE item_type = 'scan' AND id = '1')) v
+       GROUP BY ALL""",
+)
+def _(a: Archive) -> DataFrame:
+    """An empty destination: the whole tree is planned at once."""
+    nothing = a["dst_before"].limit(0)
+    plan, errors = migration.create_plan(_documents(a), nothing, a["pm"], _id_map(a).limit(0))
+    found = plan.select(F.lit("create").alias("part"), "item_type", F.col("status").alias("detail"))
+    failed = errors.select(F.lit("violation").alias("part"), "item_type", F.col("check").alias("detail"))
+    rows = found.unionByName(failed).groupBy("part", "item_type", "detail")
+    return rows.agg(F.count(F.lit(1)).alias("n"))
+
+
+def _without_owners(a: Archive) -> DataFrame:
+    """A listing that names no owner for a third of the items; assessors' documents do not either."""
+    missing = F.when(F.col("k") % 3 != 0, F.col("owner_project"))
+    return a["src_items"].withColumn("owner_project", missing)
+
+
+@_query(
+    "q_document_owners",
+    """SELECT project, item_type, id, CASE WHEN k % 3 <> 0 OR item_type <> 'assessor' THEN home
+              END AS owner_project
+       FROM {src_items} WHERE item_type IN ('subject', 'experiment', 'assessor')""",
+)
+def _(a: Archive) -> DataFrame:
+    known = items.with_owner(_without_owners(a))
+    known = known.where(F.col("item_type").isin("subject", "experiment", "assessor"))
+    return known.select("project", "item_type", "id", "owner_project")
+
+
+@_query(
+    "q_owner_violations",
+    """SELECT 'owner_unknown' AS "check", project, item_type, id AS item_id
+       FROM {src_items} JOIN {pm} ON src_project = project
+       WHERE item_type = 'assessor' AND k % 3 = 0""",
+)
+def _(a: Archive) -> DataFrame:
+    return items.owner_violations(items.with_owner(_without_owners(a)), a["pm"]).drop("detail")
+
+
+@_query(
+    "q_plan_contents",
+    f"""SELECT item_type, COUNT(*) AS n, SUM(LENGTH(payload_xml)) AS chars,
+               MIN(MD5(payload_xml)) AS least, MAX(MD5(payload_xml)) AS most
+        FROM ({_ORACLES['q_xml_roundtrip']}) GROUP BY item_type""",
+)
+def _(a: Archive) -> DataFrame:
+    plan, _ = migration.create_plan(_documents(a), a["dst_before"], a["pm"], _id_map(a))
+    digest = F.md5("payload_xml")
+    return plan.groupBy("item_type").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.length("payload_xml")).cast("decimal(38,0)").alias("chars"),
+        F.min(digest).alias("least"),
+        F.max(digest).alias("most"),
+    )
 
 
 # ---------------------------------------------------------------- sharing
@@ -645,7 +726,7 @@ def _(a: Archive) -> DataFrame:
         WHERE v.dst_project <> o.dst_project""",
 )
 def _(a: Archive) -> DataFrame:
-    return sharing.share_plan(a["src_items"], a["pm"], _id_table(a))
+    return sharing.share_plan(a["src_items"], a["pm"], _id_map(a))
 
 
 @_query(
@@ -659,7 +740,7 @@ def _(a: Archive) -> DataFrame:
         WHERE v.dst_project <> 'D_' || v.home AND (o.dst_project IS NULL OR any_id IS NULL)""",
 )
 def _(a: Archive) -> DataFrame:
-    found = sharing.share_violations(a["src_items"], a["pm"], _id_table(a))
+    found = sharing.share_violations(a["src_items"], a["pm"], _id_map(a))
     return found.drop("check")
 
 
@@ -725,7 +806,10 @@ def _(a: Archive) -> DataFrame:
         a["cfg_listing"], "listing", "path: STRING, contents: STRING"
     )
     settings = opened.withColumn("pos", F.col("event_id") * 2 + F.col("pos"))
-    return configs.config_plan(settings, a["pm"])
+    # Tools as a listing has them, in an order of its own and each of them twice.
+    tools = settings.groupBy("project", "tool").agg(F.max("event_id").alias("pos"))
+    tools = tools.unionByName(tools.withColumn("pos", F.col("pos") % 7))
+    return configs.config_plan(listings.config_settings(tools, settings), a["pm"])
 
 
 # ---------------------------------------------------------------- files and catalogues

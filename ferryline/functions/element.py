@@ -94,12 +94,15 @@ def references(children: Column) -> Column:
 
 
 def replace_references(children: Column, new_ids: Column) -> Column:
-    """Put the ids of a ``MAP<ord, id>`` into the children that name other items."""
+    """Put the ids of a ``MAP<ord, id>`` into the children that name other items.
+
+    A name that has no id there stays.
+    """
     return F.transform(
         children,
         lambda c: F.when(
             c["tag"].isin(*REFERENCE_TAGS),
-            c.withField("text", F.try_element_at(new_ids, c["ord"])),
+            c.withField("text", F.coalesce(F.try_element_at(new_ids, c["ord"]), c["text"])),
         ).otherwise(c),
     )
 

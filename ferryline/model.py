@@ -101,9 +101,11 @@ METADATA_COLUMNS = ("ID", "label", "insert_user", "insert_date", "last_modified"
 # Listing name -> type of the items it lists.
 RESOURCE_TYPES = {"subjects": "subject", "experiments": "experiment"}
 
-# Item types whose failures are counted, and those that can be shown in other projects.
+# Item types whose failures are counted, those that can be shown in other
+# projects, and the namespaces whose ids are unique on a whole server.
 COUNTED_TYPES = ("subject", "experiment", "scan", "assessor")
 SHAREABLE_TYPES = ("subject", "experiment", "assessor")
+SERVER_WIDE = ("subject", "experiment")
 
 _ATTRS = "MAP<STRING, STRING>"
 _KID = f"STRUCT<tag: STRING, text: STRING, tail: STRING, attrs: {_ATTRS}, raw: STRING>"

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ferryline.functions.ids import id_namespace, is_user_datatype
 from ferryline.model import VIOLATION
-from ferryline.operators.joins import lookup_join
 
 
 def violation(
@@ -77,9 +76,7 @@ def check_datatypes(source: DataFrame, destination: DataFrame) -> DataFrame:
 def unsupported_experiments(experiments: DataFrame, schema_datatypes: DataFrame) -> DataFrame:
     """Experiments, owned or shared, whose type the destination does not know."""
     known = schema_datatypes.select(F.col("element_name").alias("xsi_type")).distinct()
-    return lookup_join(
-        experiments, known, ["xsi_type"], "left_anti", split_by=["project", "id"]
-    )
+    return experiments.join(known, "xsi_type", "left_anti")
 
 
 def datatype_violations(missing: DataFrame) -> DataFrame:

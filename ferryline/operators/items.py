@@ -5,16 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferryline.operators.joins import lookup_join, split_join
+from ferryline.functions.xmlio import root_attribute
+from ferryline.operators.checks import violation
 
 #: Where an item sits: scans go by id, everything else by label.
 PLACEMENT = ["dst_project", "item_type", "place_subject", "place_experiment", "place_name"]
 
 
+def with_owner(items: DataFrame) -> DataFrame:
+    """Fill ``owner_project`` from the root of the document where the listing has none.
+
+    Reads the root's attributes without parsing the document, of those items alone.
+    """
+    if "element" in items.columns:
+        named = F.try_element_at(F.col("element.attrs"), F.lit("project"))
+    elif "xml" in items.columns:
+        named = root_attribute(F.col("xml"), "project")
+    else:
+        return items
+    return items.withColumn("owner_project", F.coalesce("owner_project", named))
+
+
+def owner_violations(items: DataFrame, project_map: DataFrame) -> DataFrame:
+    """Items of visited projects that name no owner, in the listing or in the document."""
+    named = ~F.col("item_type").isin("project", "scan")
+    unknown = items.where(named & F.col("owner_project").isNull())
+    visited = project_map.select(F.col("src_project").alias("project"))
+    return violation(
+        unknown.join(visited, "project", "left_semi"),
+        "owner_unknown",
+        project=F.col("project"),
+        item_type=F.col("item_type"),
+        item_id=F.col("id"),
+    )
+
+
 def split_owned(items: DataFrame) -> DataFrame:
     """Add ``is_owner``: whether the project an item is visited in is the one it names.
 
-    Projects own themselves. For scans see :func:`owned_scans`.
+    Projects own themselves. For scans see :func:`owned_scans`; for items that name no
+    project, which are neither owned nor shared, see :func:`owner_violations`.
     """
     named = F.coalesce(F.col("owner_project") == F.col("project"), F.lit(False))
     return items.withColumn("is_owner", (F.col("item_type") == "project") | named)
@@ -28,8 +58,7 @@ def owned_scans(scans: DataFrame, experiments: DataFrame) -> DataFrame:
         .select("project", F.col("id").alias("experiment_id"))
         .distinct()
     )
-    on = ["project", "experiment_id"]
-    return split_join(scans, owned, on, "left_semi", split_by=["project", "id"])
+    return scans.join(owned, ["project", "experiment_id"], "left_semi")
 
 
 def owned_items(items: DataFrame) -> DataFrame:
@@ -43,9 +72,7 @@ def owned_items(items: DataFrame) -> DataFrame:
 
 def with_destination(items: DataFrame, project_map: DataFrame, project: str = "project") -> DataFrame:
     """Add the paired destination project's columns; other projects are not visited."""
-    pairs = project_map.withColumnRenamed("src_project", project)
-    split_by = [c for c in (project, "item_type", "id", "rel_path", "ID") if c in items.columns]
-    return lookup_join(items, pairs, [project], split_by=split_by)
+    return items.join(project_map.withColumnRenamed("src_project", project), project)
 
 
 def with_placement(items: DataFrame) -> DataFrame:
@@ -69,6 +96,14 @@ def placements(dst_items: DataFrame) -> DataFrame:
     return placed.select(*PLACEMENT, F.col("id").alias("destination_id"))
 
 
+def with_presence(items: DataFrame, dst_items: DataFrame) -> DataFrame:
+    """Add ``is_missing``: whether the item is absent from its place at the destination."""
+    held = placements(dst_items).drop("destination_id").distinct()
+    found = with_placement(items).join(held.withColumn("_held", F.lit(True)), PLACEMENT, "left")
+    rows = found.withColumn("is_missing", F.col("_held").isNull())
+    return rows.drop("_held", *[c for c in PLACEMENT if c.startswith("place_")])
+
+
 def missing_items(items: DataFrame, dst_items: DataFrame) -> DataFrame:
     """Items that are absent from their place at the destination.
 

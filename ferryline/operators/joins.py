@@ -1,4 +1,8 @@
-"""Equi-joins that stay balanced when one key holds a great share of the rows."""
+"""An equi-join that stays balanced when the number of rows of each key is known anyway.
+
+All other joins of the library are plain ones: adaptive execution broadcasts a small side by its
+measured size and splits the partitions of a hot key.
+"""
 
 from __future__ import annotations
 
@@ -10,31 +14,6 @@ from pyspark.sql import functions as F
 _SALT = "_salt"
 _COPIES = "_copies"
 
-#: Copies of a lookup row, hence tasks that share its key if the lookup is shuffled.
-LOOKUP_COPIES = 16
-
-#: Keys that are split at most; any further one holds a smaller share than one in so many.
-HOT_KEYS = 1000
-
-#: Keys with fewer rows than this are never worth splitting.
-HOT_ROWS = 1_000_000
-
-
-def lookup_join(
-    rows: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner", *, split_by: list[str]
-) -> DataFrame:
-    """Join rows to a narrow lookup with one row per key, such as the project pairs.
-
-    Each lookup row is copied a fixed number of times and a row picks its copy by a hash
-    of ``split_by``. A lookup under the broadcast threshold is still broadcast by Spark
-    and moves no rows; a larger one is shuffled with every key spread over many tasks.
-    Fits ``inner``, ``left``, ``left_semi`` and ``left_anti``.
-    """
-    salt = F.pmod(F.xxhash64(*split_by), F.lit(LOOKUP_COPIES)).cast("int")
-    copies = F.explode(F.sequence(F.lit(0), F.lit(LOOKUP_COPIES - 1)))
-    left = rows.select("*", salt.alias(_SALT))
-    return left.join(lookup.select("*", copies.alias(_SALT)), [*on, _SALT], how).drop(_SALT)
-
 
 def split_join(
     rows: DataFrame,
@@ -43,29 +22,26 @@ def split_join(
     how: str = "left",
     *,
     split_by: list[str],
-    counts: DataFrame | None = None,
-    hot_rows: int = HOT_ROWS,
+    counts: DataFrame,
+    parts: int | None = None,
 ) -> DataFrame:
     """Join many rows to a large table that is unique on ``on``, splitting hot keys.
 
-    Keys with over ``hot_rows`` rows are hot, or the largest ``HOT_KEYS`` of them: a key
-    beyond those holds under ``1 / HOT_KEYS`` of all rows and is joined like any other.
-    Their list is so short that it can be broadcast. Rows of a hot key are spread by a
-    hash of ``split_by`` over copies of its one table row, one for each ``hot_rows`` rows.
-    Null keys count as a key here, so that rows without one are spread as well. ``counts``
-    saves a pass if the number of rows per key (``on`` plus ``n``) is known already.
-    Fits ``inner``, ``left``, ``left_semi`` and ``left_anti``.
+    ``counts`` has the number of rows of each key (``on`` plus ``n``). A key is hot if it holds
+    more than a fair share, all rows over ``parts``, by default the number of shuffle
+    partitions. Fewer keys than ``parts`` can, so their list is bounded by a setting and is
+    broadcast. Rows of a hot key are spread by a hash of ``split_by`` over copies of its one table row, one for
+    each fair share, so that no task gets much more than that. Null keys count as a key here,
+    so that rows without one are spread as well. Fits ``inner``, ``left``, ``left_semi`` and
+    ``left_anti``.
     """
-    if counts is None:
-        counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+    if parts is None:
+        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fair = counts.agg((F.sum("n") / parts).alias("fair")).scalar()
     hot = (
-        counts.where(F.col("n") > hot_rows)
-        .orderBy(F.desc("n"), *on)
-        .limit(HOT_KEYS)
-        .select(
-            *[F.col(k).alias(f"_hot_{k}") for k in on],
-            F.ceil(F.col("n") / hot_rows).cast("int").alias(_COPIES),
-        )
+        counts.withColumn(_COPIES, F.ceil(F.col("n") / F.greatest(fair, F.lit(1.0))).cast("int"))
+        .where(F.col(_COPIES) > 1)
+        .select(*[F.col(k).alias(f"_hot_{k}") for k in on], _COPIES)
     )
 
     def tagged(side: DataFrame, salt: Column) -> DataFrame:

@@ -10,10 +10,10 @@ from ferryline.functions.ids import id_namespace
 from ferryline.functions.paths import archive_path
 from ferryline.functions.uris import uri_mismatch
 from ferryline.functions.xmlio import parse_items
-from ferryline.model import clark
+from ferryline.model import SERVER_WIDE, clark
 from ferryline.operators.identity import across_projects
 from ferryline.operators.items import with_destination
-from ferryline.operators.joins import HOT_ROWS, split_join
+from ferryline.operators.joins import split_join
 
 #: Identity of a visited item; scan ids are unique within their experiment only.
 ITEM_KEY = ["project", "item_type", "experiment_key", "id"]
@@ -31,11 +31,25 @@ def item_references(items: DataFrame) -> DataFrame:
     return opened.select(*ITEM_KEY, "ref.*")
 
 
+def plannable(items: DataFrame) -> DataFrame:
+    """``project, map_type, source_id`` of items that are still to be created."""
+    kept = ["project", id_namespace(F.col("item_type")).alias("map_type"), F.col("id").alias("source_id")]
+    return items.select(*kept).where(F.col("map_type").isNotNull()).distinct()
+
+
 def resolve_references(
-    refs: DataFrame, id_map: DataFrame, *, hot_rows: int = HOT_ROWS
+    refs: DataFrame,
+    id_map: DataFrame,
+    planned: DataFrame | None = None,
+    *,
+    parts: int | None = None,
 ) -> DataFrame:
     """Add ``new_id``: the referring project's own mapping, else that of any project.
 
+    Other projects are asked for ids that are unique on the whole server only: a scan's number means
+    nothing outside its project. With ``planned``, of :func:`plannable`, also ``is_planned``: whether the
+    name is that of an item still to be created, in the same way.
+
     Many items name the same subject, session or scan number, so the distinct names are
     counted and resolved first; the counts then tell which of them to split when the
     result is handed back to the rows. Unresolved and empty names get null.
@@ -48,32 +62,45 @@ def resolve_references(
         "source_id",
         F.col("destination_id").alias("own_id"),
     )
-    anywhere = across_projects(id_map).withColumnRenamed("destination_id", "any_id")
+    shared = F.col("map_type").isin(*SERVER_WIDE)
+    anywhere = across_projects(id_map.where(shared)).withColumnRenamed("destination_id", "any_id")
     # Names are distinct per project here, so no key of these two joins is hot.
     resolved = (
         names.join(own, on, "left")
         .join(anywhere, ["map_type", "source_id"], "left")
-        .select(*on, F.coalesce("own_id", "any_id").alias("new_id"))
+        .withColumn("new_id", F.coalesce("own_id", "any_id"))
     )
+    flags = []
+    if planned is not None:
+        elsewhere = planned.where(shared).select("map_type", "source_id").distinct()
+        resolved = resolved.join(planned.withColumn("_own", F.lit(True)), on, "left").join(
+            elsewhere.withColumn("_any", F.lit(True)), ["map_type", "source_id"], "left"
+        )
+        flags = [F.coalesce("_own", "_any", F.lit(False)).alias("is_planned")]
+    resolved = resolved.select(*on, "new_id", *flags)
     return split_join(
         refs, resolved, on, "left", split_by=["item_type", "experiment_key", "id", "ord"],
-        counts=names, hot_rows=hot_rows,
+        counts=names, parts=parts,
     )
 
 
-def remap_references(items: DataFrame, id_map: DataFrame) -> DataFrame:
-    """Per item ``new_ids MAP<ord, id>`` and the ``unmapped`` references.
+def remap_references(
+    items: DataFrame, id_map: DataFrame, planned: DataFrame | None = None
+) -> DataFrame:
+    """Per item ``new_ids MAP<ord, id>``, the ``pending`` and the ``unmapped`` references.
 
-    The lists are bounded by the document the references stand in.
+    Pending are those to an item that is still to be created, unmapped those to nothing. The lists are bounded by the document the references stand in.
     """
     ref = F.struct("ord", "map_type", "source_id")
-    resolved = resolve_references(item_references(items), id_map)
+    resolved = resolve_references(item_references(items), id_map, planned)
     known = F.col("new_id").isNotNull()
+    awaited = F.lit(False) if planned is None else F.col("is_planned")
     return resolved.groupBy(*ITEM_KEY).agg(
         F.map_from_entries(F.collect_set(F.when(known, F.struct("ord", "new_id")))).alias(
             "new_ids"
         ),
-        F.array_sort(F.collect_set(F.when(~known, ref))).alias("unmapped"),
+        F.array_sort(F.collect_set(F.when(~known & awaited, ref))).alias("pending"),
+        F.array_sort(F.collect_set(F.when(~known & ~awaited, ref))).alias("unmapped"),
     )
 
 
@@ -155,44 +182,46 @@ def rewrite_items(
     id_map: DataFrame,
     *,
     chosen: DataFrame | None = None,
+    planned: DataFrame | None = None,
     bounded: bool = False,
 ) -> DataFrame:
     """Rewrite item documents for the destination and list what stands in the way.
 
     Items come with ``element``, or with ``xml`` that is parsed here. ``element`` is
-    replaced and ``errors`` added; an item with errors cannot be created. Parse the items
-    into a table first if they are many: the references are then read from a column of
-    their own and no document is parsed or read twice.
+    replaced, ``errors`` and ``pending`` are added; an item with errors cannot be created, one
+    with pending references not yet: they keep their old ids.
 
     ``chosen`` gives the items to rewrite, without their documents and with the columns of
-    :func:`~ferryline.operators.items.with_destination`. Choosing, resolving references
-    and putting both together then move ids only, and a document moves once.
+    :func:`~ferryline.operators.items.with_destination`. Choosing moves ids only; the documents of
+    chosen items alone are then moved, once, and parsed. ``planned`` is that of
+    :func:`resolve_references`.
     """
-    if "element" not in items.columns:
-        items = parse_items(items)
-    remapped = remap_references(items, id_map)
     if chosen is None:
-        joined = with_item_key(with_destination(items, project_map)).join(
-            remapped, ITEM_KEY, "left"
-        )
+        joined = with_item_key(with_destination(items, project_map))
     else:
-        documents = with_item_key(items).select(*ITEM_KEY, "element")
-        joined = (
-            with_item_key(chosen).join(remapped, ITEM_KEY, "left").join(documents, ITEM_KEY)
-        )
+        held = [c for c in ("xml", "element", "refs") if c in items.columns]
+        documents = with_item_key(items).select(*ITEM_KEY, *held)
+        joined = with_item_key(chosen).join(documents, ITEM_KEY)
+    if "element" not in joined.columns:
+        joined = parse_items(joined)
+    # Both sides stand on the key the documents were moved by, so they do not move again.
+    remapped = remap_references(joined, id_map, planned)
+    joined = joined.join(remapped, ITEM_KEY, "left")
     paths = {
         "src_path": archive_path(F.col("src_archive"), F.col("project")),
         "dst_path": archive_path(F.col("dst_archive"), F.col("dst_project")),
     }
     titles = {c: F.col(c) for c in ("dst_project", "dst_secondary_id", "dst_name")}
     kind = F.col("item_type")
-    used = ("element", "refs", "experiment_key", "new_ids", "unmapped")
+    used = ("element", "refs", "experiment_key", "new_ids", "pending", "unmapped")
+    empty = F.array().cast("ARRAY<STRUCT<ord: INT, map_type: STRING, source_id: STRING>>")
     kept = [c for c in joined.columns if c not in used]
     return joined.select(
         *kept,
         rewritten_element(kind, F.col("new_ids"), {**titles, **paths}, bounded=bounded).alias(
             "element"
         ),
+        F.coalesce("pending", empty).alias("pending"),
         document_errors(kind, F.col("unmapped"), **paths, bounded=bounded).alias("errors"),
     )
 

@@ -5,41 +5,51 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferryline.functions.paths import target_path
-from ferryline.functions.xmlio import parse_items, to_xml
+from ferryline.functions.xmlio import to_xml
 from ferryline.operators import catalogs, checks, configs, files, identity, metadata, sharing, users
-from ferryline.operators.items import missing_items, owned_items, with_destination
-from ferryline.operators.joins import lookup_join
-from ferryline.operators.rewrite import rewrite_items, rewrite_violations
-from ferryline.session import staging_dir
+from ferryline.operators.items import (
+    owned_items,
+    owner_violations,
+    with_destination,
+    with_owner,
+    with_presence,
+)
+from ferryline.operators.rewrite import plannable, rewrite_items, rewrite_violations
 from ferryline.sources.projects import root_violations
 
 
-def stage(rows: DataFrame, name: str) -> DataFrame:
-    """Write rows to the shared folder the session names, and go on from there.
+class Staging:
+    """A folder, shared by all executors, for tables that several plans read.
 
-    Plans made from the result read only the columns they need and survive the loss of
-    executors without starting over. Without such a folder the rows stay a plan.
+    Plans stay plans without one: nothing is written unless it is asked for. As a context
+    manager it removes what was written, so carry the plans out inside.
     """
-    folder = staging_dir(rows.sparkSession)
-    if folder is None:
-        return rows
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    return rows.sparkSession.read.parquet(path)
 
+    def __init__(self, spark: SparkSession, uri: str):
+        if "://" not in uri:
+            raise ValueError("name the file system: a bare path is another folder on each machine")
+        self._spark, self._folder = spark, f"{uri.rstrip('/')}/staging-{uuid.uuid4().hex}"
 
-def missing_targets(
-    src_items: DataFrame, dst_items: DataFrame, project_map: DataFrame
-) -> DataFrame:
-    """Owned items the destination lacks, with the collection to create each in."""
-    owned = with_destination(owned_items(src_items), project_map)
-    missing = missing_items(owned, dst_items)
-    columns = [F.col(c) for c in ("item_type", "dst_project", "subject_label", "experiment_label")]
-    return missing.withColumn("target_path", target_path(*columns))
+    def __enter__(self) -> Staging:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.remove()
+
+    def write(self, rows: DataFrame, name: str) -> DataFrame:
+        """Write rows now, and go on from what was written."""
+        path = f"{self._folder}/{name}-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return self._spark.read.parquet(path)
+
+    def remove(self) -> None:
+        """Delete all that was written here."""
+        path = self._spark._jvm.org.apache.hadoop.fs.Path(self._folder)
+        path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def create_plan(
@@ -50,34 +60,50 @@ def create_plan(
     *,
     files_only: bool = False,
     bounded: bool = False,
+    staging: Staging | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Items to create with their documents, and what keeps owned items from it.
 
-    Ids are known only once an item exists, so plan level by level: an experiment can be
-    planned when its subject is in ``id_map``. Documents of all owned items are checked,
-    those of missing items are written; an item with errors is in the violations only.
-    ``files_only`` leaves every level but the project out.
+    One run plans the whole tree. ``level`` is 0 for projects to 3 for scans and assessors; ``status``
+    is ``ready``, or ``waiting`` for an item that refers to others of the plan: ``pending`` lists
+    them, and its document holds their old ids until theirs are known. Items whose owner no
+    one names, documents with references to nothing and other errors are violations, whether
+    the item is missing or not. Documents of owned items of visited projects alone are moved and parsed, and
+    those of missing items without errors written. ``files_only`` leaves every level but the
+    project out. With ``staging`` the rewritten documents are written once for both results.
     """
     if files_only:
         src_items = src_items.where(F.col("item_type") == "project")
-    if "element" not in src_items.columns:
-        src_items = stage(parse_items(src_items), "items")
-    facts = src_items.drop("element", "refs")
-    missing = missing_targets(facts, dst_items, project_map)
-    ready = rewrite_items(
-        src_items, project_map, id_map, chosen=missing, bounded=bounded
-    ).where(F.size("errors") == 0)
+    src_items = with_owner(src_items)
+    facts = src_items.drop("xml", "element", "refs")
+    owned = with_presence(with_destination(owned_items(facts), project_map), dst_items)
+    rewritten = rewrite_items(
+        src_items,
+        project_map,
+        id_map,
+        chosen=owned,
+        planned=plannable(owned.where("is_missing")),
+        bounded=bounded,
+    )
+    if staging is not None:
+        rewritten = staging.write(rewritten, "rewritten")
+    ready = rewritten.where(F.col("is_missing") & (F.size("errors") == 0))
+    kind = F.col("item_type")
+    level = F.when(kind == "project", 0).when(kind == "subject", 1).when(kind == "experiment", 2)
+    place = [F.col(c) for c in ("item_type", "dst_project", "subject_label", "experiment_label")]
     plan = ready.select(
         "dst_project",
         "item_type",
         F.col("id").alias("source_id"),
         "label",
-        "target_path",
+        target_path(*place).alias("target_path"),
+        level.otherwise(3).alias("level"),
+        F.when(F.size("pending") > 0, "waiting").otherwise("ready").alias("status"),
+        "pending",
         to_xml("element").alias("payload_xml"),
     )
-    owned = with_destination(owned_items(facts), project_map)
-    checked = rewrite_items(src_items, project_map, id_map, chosen=owned, bounded=bounded)
-    return plan, rewrite_violations(checked)
+    unknown = owner_violations(facts, project_map)
+    return plan, rewrite_violations(rewritten).unionByName(unknown)
 
 
 @dataclass
@@ -103,10 +129,13 @@ class Inputs:
     dst_after: DataFrame | None = None
 
 
-def migration_plan(inputs: Inputs, *, files_only: bool = False) -> dict[str, DataFrame]:
+def migration_plan(
+    inputs: Inputs, *, files_only: bool = False, staging: Staging | None = None
+) -> dict[str, DataFrame]:
     """All plans of a migration, by name, in the order they are to be carried out.
 
-    Each is a plan of its own that runs when it is written or counted. ``violations``
+    Each is a plan of its own that runs when it is written or counted; with ``staging`` what
+    several need is computed and written first. ``violations``
     gathers what should be looked at first. With ``files_only`` nothing below projects is
     created or mapped; users, metadata, settings, files and refresh are planned as ever.
     """
@@ -114,14 +143,15 @@ def migration_plan(inputs: Inputs, *, files_only: bool = False) -> dict[str, Dat
     after = inputs.dst_items if inputs.dst_after is None else inputs.dst_after
     if files_only:
         items = items.where(F.col("item_type") == "project")
-    if "element" not in items.columns:
-        items = stage(parse_items(items), "items")
-    facts = items.drop("element", "refs")
+    items = with_owner(items)
+    facts = items.drop("xml", "element", "refs")
 
     owned = with_destination(owned_items(facts), pairs)
     resolved = identity.resolve_ids(owned, after)
-    id_map = stage(identity.dedupe_id_map(resolved), "id_map")
-    create, rewrite_errors = create_plan(items, inputs.dst_items, pairs, id_map)
+    id_map = identity.dedupe_id_map(resolved)
+    if staging is not None:
+        id_map = staging.write(id_map, "id_map")
+    create, rewrite_errors = create_plan(items, inputs.dst_items, pairs, id_map, staging=staging)
 
     missing = checks.missing_datatypes(inputs.src_datatypes, inputs.dst_datatypes)
     experiments = with_destination(facts.where(F.col("item_type") == "experiment"), pairs)
@@ -147,12 +177,8 @@ def migration_plan(inputs: Inputs, *, files_only: bool = False) -> dict[str, Dat
         "config": configs.config_plan(inputs.settings, pairs),
         "id_map": id_map,
         "refresh": catalogs.refresh_paths(
-            lookup_join(
-                after,
-                pairs.select(F.col("dst_project").alias("project")),
-                ["project"],
-                "left_semi",
-                split_by=["item_type", "experiment_label", "id"],
+            after.join(
+                pairs.select(F.col("dst_project").alias("project")), "project", "left_semi"
             )
         ),
         "share": sharing.share_plan(facts, pairs, id_map),

@@ -25,8 +25,3 @@ def session(app: str = "ferryline", master: str | None = None, **extra: str) ->
     for key, value in extra.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
-
-
-def staging_dir(spark: SparkSession) -> str | None:
-    """The shared folder the cluster names for intermediate tables, if it names one."""
-    return spark.conf.get("spark.checkpoint.dir", None)

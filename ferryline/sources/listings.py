@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ferryline.functions.xmlio import parse_items
 from ferryline.model import ITEM_METADATA, SRC_ITEM, USER_PROFILE
-from ferryline.operators.joins import lookup_join, split_join
 
 
 def _resultset(schema: str) -> str:
@@ -71,6 +69,35 @@ def read_metadata(spark: SparkSession, path: str | list[str], project: str, reso
     return named.select(*ITEM_METADATA.names)
 
 
+def _read_folders(spark: SparkSession, path: str, folders: list[str], fields: str) -> DataFrame:
+    """All listings below ``path`` in one scan; folders named ``project=…`` and so on say whose."""
+    named = ", ".join(f"{f} STRING" for f in folders)
+    docs = (
+        spark.read.schema(f"{_resultset(fields)}, {named}")
+        .option("multiLine", True)
+        .json(path)
+    )
+    opened = docs.select(*folders, F.posexplode("ResultSet.Result").alias("pos", "_result"))
+    return opened.select(*folders, F.col("pos").cast("long").alias("pos"), "_result.*")
+
+
+def read_all_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """Metadata listings of all projects, from ``project=…/resource=…`` folders, with ``pos``."""
+    fields = ", ".join(f"{c}: STRING" for c in ITEM_METADATA.names[2:])
+    rows = _read_folders(spark, path, ["project", "resource"], fields)
+    return rows.select(*ITEM_METADATA.names, "pos")
+
+
+def read_all_tools(spark: SparkSession, path: str) -> DataFrame:
+    """Tools of all projects in listing order, from ``project=…`` folders."""
+    return _read_folders(spark, path, ["project"], "tool: STRING")
+
+
+def read_all_settings(spark: SparkSession, path: str) -> DataFrame:
+    """Settings of all tools, from ``project=…/tool=…`` folders; for :func:`config_settings`."""
+    return _read_folders(spark, path, ["project", "tool"], "path: STRING, contents: STRING")
+
+
 def config_settings(tools: DataFrame, settings: DataFrame) -> DataFrame:
     """Settings of the listed tools in listing order.
 
@@ -78,7 +105,7 @@ def config_settings(tools: DataFrame, settings: DataFrame) -> DataFrame:
     and ``contents``. A tool listed twice is read twice, to the same effect.
     """
     order = tools.groupBy("project", "tool").agg(F.max("pos").alias("_tool_pos"))
-    rows = lookup_join(settings, order, ["project", "tool"], split_by=["path", "pos"])
+    rows = settings.join(order, ["project", "tool"])
     place = F.col("_tool_pos").cast("long") * (1 << 31) + F.col("pos")
     return rows.select("project", "tool", "path", "contents", place.alias("pos"))
 
@@ -127,11 +154,11 @@ def assemble_items(levels: dict[str, DataFrame]) -> DataFrame:
 
 
 def _look_up(rows: DataFrame, parents: DataFrame | None, on: list[str]) -> DataFrame:
-    """Add what the parents have and the rows lack; one parent may have very many rows."""
+    """Add what the parents have and the rows lack."""
     if parents is None:
         return rows
     taken = [c for c in parents.columns if c in on or c not in rows.columns]
-    return split_join(rows, parents.select(*taken), on, "left", split_by=["id"])
+    return rows.join(parents.select(*taken), on, "left")
 
 
 def _conform(rows: DataFrame) -> DataFrame:
@@ -153,8 +180,3 @@ def with_document_facts(items: DataFrame) -> DataFrame:
             "xsi_type": F.coalesce("xsi_type", F.try_element_at(attrs, kind)),
         }
     )
-
-
-def conform(rows: DataFrame, schema: T.StructType) -> DataFrame:
-    """Select and cast the columns of a table schema."""
-    return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])

@@ -240,6 +240,30 @@ ORACLE_ONLY = {
                         AND (o.item_type = 'experiment'
                              OR d.experiment_label = o.experiment_label)))
                AND o.item_type IN ('subject', 'experiment', 'assessor')""",
+    # Ids that documents refer to, and whether an item is still to be created for them.
+    "expected": """
+        SELECT o.*, COALESCE(sm.destination_id, sa.any_id) AS new_subject,
+               COALESCE(em.destination_id, ea.any_id) AS new_experiment,
+               cm.destination_id AS new_scan,
+               ds.source_id IS NOT NULL AS due_subject, de.source_id IS NOT NULL AS due_experiment,
+               dc.project IS NOT NULL AS due_scan
+        FROM {owned} o
+        LEFT JOIN {id_map} sm ON sm.src_project = o.src_project AND sm.map_type = 'subject'
+            AND sm.source_id = o.subject_id
+        LEFT JOIN {id_any} sa ON sa.map_type = 'subject' AND sa.source_id = o.subject_id
+        LEFT JOIN {id_map} em ON em.src_project = o.src_project AND em.map_type = 'experiment'
+            AND em.source_id = o.experiment_id
+        LEFT JOIN {id_any} ea ON ea.map_type = 'experiment' AND ea.source_id = o.experiment_id
+        LEFT JOIN {id_map} cm ON cm.src_project = o.src_project AND cm.map_type = 'scan'
+            AND cm.source_id = '1'
+        LEFT JOIN (SELECT DISTINCT id AS source_id FROM {owned}
+                   WHERE item_type = 'subject' AND k % 3 <> 0) ds ON ds.source_id = o.subject_id
+        LEFT JOIN (SELECT DISTINCT id AS source_id FROM {owned}
+                   WHERE item_type IN ('experiment', 'assessor') AND k % 3 <> 0) de
+            ON de.source_id = o.experiment_id
+        LEFT JOIN (SELECT DISTINCT project FROM {owned}
+                   WHERE item_type = 'scan' AND id = '1' AND k % 3 <> 0) dc
+            ON dc.project = o.project""",
     "id_any": """
         SELECT map_type, source_id, ARG_MIN(destination_id, seq) AS any_id
         FROM {id_map} GROUP BY map_type, source_id""",

@@ -98,10 +98,19 @@ def test_documents_are_parsed_once_and_references_read_alone(spark, tmp_path):
 
 
 def test_library_runs_no_hidden_jobs():
-    """No row is pulled to the driver by the library, but for the one that strict mode shows."""
+    """No plan runs a job while it is made, nor pulls rows to the driver.
+
+    Strict mode shows one row; positions of a list that has none take a quantile job, as their
+    docstring says; sinks and asked-for staging write. Models of the training-data operators are fitted
+    by jobs of their own.
+    """
     forbidden = {"collect", "toPandas", "toLocalIterator", "localCheckpoint", "rdd", "crossJoin"}
+    forbidden |= {"approxQuantile", "write"}
+    allowed = {"users.py": {"approxQuantile"}, "sinks.py": {"write"}, "migration.py": {"write"}}
     for path in (ROOT / "ferryline").rglob("*.py"):
+        if "llm" in path.parts:
+            continue
         used = {
             node.attr for node in ast.walk(ast.parse(path.read_text())) if isinstance(node, ast.Attribute)
         }
-        assert not used & forbidden, path
+        assert not used & forbidden - allowed.get(path.name, set()), path

@@ -27,7 +27,14 @@ def test_flagship(spark):
 
 
 # The queries that read or write documents, which takes Python.
-DOCUMENTS = {"q_xml_roundtrip", "q_rewrite_violations", "q_plan_summary", "q_plan_files_only"}
+DOCUMENTS = {
+    "q_first_run",
+    "q_plan_contents",
+    "q_plan_files_only",
+    "q_plan_summary",
+    "q_rewrite_violations",
+    "q_xml_roundtrip",
+}
 
 
 @pytest.mark.parametrize("name", OWN)

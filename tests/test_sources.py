@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ferryline.model import ITEM_METADATA
 from ferryline.plans import sinks
 from ferryline.sources import listings
-from ferryline.sources.manifest import file_roots, read_manifest
+from ferryline.sources.manifest import file_roots, manifest_violations, read_manifest
 from ferryline.sources.projects import pair_lists, project_map
 
 
@@ -187,6 +187,44 @@ def test_manifest(spark, tree, split_levels):
     assert sizes["p1", "_u/x/y/z/deep.dcm"] == len("p1/_u/x/y/z/deep.dcm")
 
 
+def test_missing_and_unreadable_roots(spark, tree):
+    """A root that is not there yet has no files; what cannot be read is told."""
+    pairs = project_map(spark, ["p1", "p2", "none"], src_files=str(tree), dst_files="/none")
+    roots = file_roots(pairs, "src")
+    found = read_manifest(roots)
+    assert found.where("project = 'none'").isEmpty() and found.count() == 6
+    assert read_manifest(file_roots(pairs, "dst")).isEmpty()
+    no_folder = spark.createDataFrame([("p3", str(tree / "p2/f"))], "project STRING, root STRING")
+    assert read_manifest(no_folder).isEmpty()
+    told = manifest_violations(roots.unionByName(no_folder)).collect()
+    assert [(r.check, r.project, r.item_id, r.detail) for r in told] == [
+        ("unreadable", "p3", "", "NotADirectoryError")
+    ]
+
+
+def test_listings_of_many_projects(spark, tmp_path):
+    for project, resource, name in (("001", "subjects", "a"), ("001", "experiments", "b"), ("p2", "subjects", "c")):
+        folder = tmp_path / "meta" / f"project={project}" / f"resource={resource}"
+        folder.mkdir(parents=True)
+        put(folder / "x.json", resultset({"ID": name, "label": "l"}, {"ID": name + "2"}))
+    read = listings.read_all_metadata(spark, str(tmp_path / "meta"))
+    assert rows(read.select("project", "resource", "ID", "pos")) == [
+        ("001", "experiments", "b", 0), ("001", "experiments", "b2", 1),
+        ("001", "subjects", "a", 0), ("001", "subjects", "a2", 1),
+        ("p2", "subjects", "c", 0), ("p2", "subjects", "c2", 1),
+    ]
+    for tool, value in (("t1", "1"), ("t2", "2")):
+        folder = tmp_path / "set" / "project=001" / f"tool={tool}"
+        folder.mkdir(parents=True)
+        put(folder / "x.json", resultset({"path": "k", "contents": value}))
+    (tmp_path / "tools" / "project=001").mkdir(parents=True)
+    put(tmp_path / "tools" / "project=001" / "x.json", resultset({"tool": "t2"}, {"tool": "t1"}, {"tool": "t2"}))
+    tools = listings.read_all_tools(spark, str(tmp_path / "tools"))
+    settings = listings.read_all_settings(spark, str(tmp_path / "set"))
+    ordered = listings.config_settings(tools, settings).orderBy("pos")
+    assert [(r.project, r.tool, r.contents) for r in ordered.collect()] == [("001", "t1", "1"), ("001", "t2", "2")]
+
+
 def test_manifest_checksums(spark, tree):
     pairs = project_map(spark, ["p2"], src_files=str(tree))
     found = read_manifest(file_roots(pairs, "src"), checksum=True)
