@@ -12,6 +12,7 @@ from ferryline.functions.paths import target_path
 from ferryline.functions.xmlio import to_xml
 from ferryline.operators import catalogs, checks, configs, files, identity, metadata, sharing, users
 from ferryline.operators.items import (
+    missing_items,
     owned_items,
     owner_violations,
     with_destination,
@@ -52,6 +53,15 @@ class Staging:
         path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def missing_targets(
+    src_items: DataFrame, dst_items: DataFrame, project_map: DataFrame
+) -> DataFrame:
+    """Owned items the destination lacks, with the collection to create each in."""
+    owned = with_destination(owned_items(src_items), project_map)
+    columns = [F.col(c) for c in ("item_type", "dst_project", "subject_label", "experiment_label")]
+    return missing_items(owned, dst_items).withColumn("target_path", target_path(*columns))
+
+
 def create_plan(
     src_items: DataFrame,
     dst_items: DataFrame,
