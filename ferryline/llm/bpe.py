@@ -1,9 +1,10 @@
 """Byte-level BPE over whole texts, by given ranks.
 
 The bytes of a piece are merged pair by pair, always the pair of lowest rank and of equal ones
-the leftmost. A segment tree over the byte positions holds that pair at its root: each
-leaf is the rank of the pair that starts there, each merge changes three leaves, so a piece
-of n bytes takes O(n log n), also where a text is one unbroken run.
+the leftmost. A segment tree over the byte positions, with sixteen children to a node, holds that
+pair at its root: each leaf is the rank of the pair that starts there, each merge changes three
+leaves and what is above them, so a piece of n bytes takes O(n log n), also where a text is one
+unbroken run.
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ferryline.llm.common import set_aside
+from ferryline.llm.common import in_parts, set_aside
 
-#: Pieces whose ids a task remembers, and the longest of them: memory only, never the result.
+#: Pieces whose ids a worker remembers, twice so many at most, and the longest of them: this costs
+#: memory and saves time, and never changes the result.
 REMEMBERED, LONGEST = 200_000, 64
 
 #: Characters from which a text is split one match at a time.
@@ -36,49 +38,63 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in filter(None, pairs)}
 
 
+#: More than any rank and place in one number.
+_NEVER = 1 << 62
+
+#: Children of a node of the tree, as a power of two: ``min`` looks at so many at once.
+_FAN = 4
+
+
+def _refresh(tree: list[list[int]], place: int) -> None:
+    """Bring the nodes above a leaf up to date."""
+    for level in range(1, len(tree)):
+        place >>= _FAN
+        value = min(tree[level - 1][place << _FAN : (place + 1) << _FAN])
+        if tree[level][place] == value:
+            return
+        tree[level][place] = value
+
+
 def merge(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
     """Ids of one piece. ``longest`` is the length of the longest token."""
     if piece in ranks:
         return [ranks[piece]]
-    size = len(piece)
-    leaves = 1 << (size - 1).bit_length()
-    never = 1 << 62
-    tree = [never] * (2 * leaves)
+    size, get = len(piece), ranks.get
+    # A leaf holds rank and place in one number, so that the least is also the leftmost.
+    leaves = [_NEVER] * size
+    for start in range(size - 1):
+        rank = get(piece[start : start + 2])
+        if rank is not None:
+            leaves[start] = rank * size + start
+    tree = [leaves]
+    while len(tree[-1]) > 1:
+        below = tree[-1]
+        tree.append([min(below[i : i + (1 << _FAN)]) for i in range(0, len(below), 1 << _FAN)])
     ends, before = list(range(1, size + 1)), list(range(-1, size - 1))
-
-    def pair_at(start: int) -> int:
-        """Rank and place in one number, so that the least is also the leftmost."""
-        middle = ends[start]
-        if middle == size or ends[middle] - start > longest:
-            return never
-        rank = ranks.get(piece[start : ends[middle]])
-        return never if rank is None else rank * size + start
-
-    def put(start: int, value: int) -> None:
-        node = leaves + start
-        tree[node] = value
-        while node > 1:
-            node >>= 1
-            left, right = tree[2 * node], tree[2 * node + 1]
-            least = left if left < right else right
-            if tree[node] == least:
-                return
-            tree[node] = least
-
-    for start in range(size):
-        tree[leaves + start] = pair_at(start)
-    for node in range(leaves - 1, 0, -1):
-        tree[node] = min(tree[2 * node], tree[2 * node + 1])
-    while tree[1] != never:
-        start = tree[1] % size
+    top, deep = tree[-1], len(tree) > 2
+    while top[0] != _NEVER:
+        start = top[0] % size
         gone = ends[start]
-        ends[start] = ends[gone]
-        if ends[start] < size:
-            before[ends[start]] = start
-        put(gone, never)
-        put(start, pair_at(start))
-        if before[start] >= 0:
-            put(before[start], pair_at(before[start]))
+        end = ends[start] = ends[gone]
+        leaves[gone] = leaves[start] = _NEVER
+        if end < size:
+            before[end] = start
+            if ends[end] - start <= longest:
+                rank = get(piece[start : ends[end]])
+                if rank is not None:
+                    leaves[start] = rank * size + start
+        last = before[start]
+        if last >= 0:
+            rank = get(piece[last:end]) if end - last <= longest else None
+            leaves[last] = _NEVER if rank is None else rank * size + last
+        if not deep:
+            top[0] = min(leaves)
+            continue
+        _refresh(tree, start)
+        if gone >> _FAN != start >> _FAN:
+            _refresh(tree, gone)
+        if last >= 0 and last >> _FAN != start >> _FAN:
+            _refresh(tree, last)
     ids, start = [], 0
     while start < size:
         ids.append(ranks[piece[start : ends[start]]])
@@ -86,34 +102,49 @@ def merge(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
     return ids
 
 
-def encoder(ranks: dict[bytes, int], pattern: str) -> Callable[[str], array]:
-    """A function from a text to its ids; each match of the pattern is encoded by itself."""
+def encoder(
+    ranks: dict[bytes, int], pattern: str, met: dict[str, dict[str, bytes]]
+) -> Callable[[str, bytearray], None]:
+    """A function that adds the ids of a text, as 32-bit numbers, to an array of bytes.
+
+    Each match of the pattern is encoded by itself. ``met`` holds the ids of pieces that were
+    met lately, ``young`` and ``old`` ones.
+    """
     longest, split = max(map(len, ranks)), regex.compile(pattern)
-    remembered: dict[str, array] = {}
 
-    def encode(text: str) -> array:
-        ids = array("i")
+    def encode(text: str, ids: bytearray) -> None:
         if len(text) < LONG_TEXT:
             pieces = split.findall(text)
         else:
             pieces = (match[0] for match in split.finditer(text))
+        known = met["young"].get
         for piece in pieces:
-            known = remembered.get(piece)
-            if known is None:
-                known = array("i", merge(piece.encode("utf-8"), ranks, longest))
+            found = known(piece)
+            if found is None:
+                found = met["old"].get(piece)
+                if found is None:
+                    found = array("i", merge(piece.encode("utf-8"), ranks, longest)).tobytes()
                 if len(piece) <= LONGEST:
-                    if len(remembered) >= REMEMBERED:
-                        remembered.clear()
-                    remembered[piece] = known
-            ids += known
-        return ids
+                    if len(met["young"]) >= REMEMBERED:
+                        met["old"], met["young"] = met["young"], {}
+                        known = met["young"].get
+                    met["young"][piece] = found
+            ids += found
 
     return encode
 
 
 def share_ranks(spark: SparkSession, path: str) -> Broadcast:
     """The vocabulary on all executors: its size is that of the file, whatever the data."""
-    return spark.sparkContext.broadcast(read_ranks(path))
+    return share_vocabulary(spark, read_ranks(path))
+
+
+def share_vocabulary(spark: SparkSession, ranks: dict[bytes, int]) -> Broadcast:
+    """Ranks in the form that :func:`encode` and :func:`decode` take.
+
+    A Python worker keeps what was broadcast from task to task, and so the pieces it has met.
+    """
+    return spark.sparkContext.broadcast((ranks, {"young": {}, "old": {}}))
 
 
 def _map(
@@ -125,7 +156,7 @@ def _map(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         convert = make()
-        for batch in batches:
+        for batch in (part for whole in batches for part in in_parts(whole, name)):
             kept = [batch.column(batch.schema.get_field_index(c)) for c in rest]
             made = convert(batch.column(batch.schema.get_field_index(name)))
             yield pa.RecordBatch.from_arrays([*kept, made], names=[*rest, name])
@@ -145,13 +176,13 @@ def encode(
     given = F.coalesce(F.col(text), F.lit("")).cast("binary")
 
     def make() -> Callable[[pa.Array], pa.Array]:
-        convert = encoder(ranks.value, pattern)
+        convert = encoder(ranks.value[0], pattern, ranks.value[1])
 
         def column(texts: pa.Array) -> pa.Array:
-            found, ends = array("i"), [0]
+            found, ends = bytearray(), [0]
             for data in texts:
-                found += convert(data.as_py().decode("utf-8", "replace"))
-                ends.append(len(found))
+                convert(data.as_py().decode("utf-8", "replace"), found)
+                ends.append(len(found) // 4)
             values = pa.array(np.frombuffer(found, dtype=np.int32))
             return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
@@ -167,7 +198,7 @@ def decode(
     given = F.coalesce(F.col(ids), F.array().cast("array<int>"))
 
     def make() -> Callable[[pa.Array], pa.Array]:
-        tokens = {rank: token for token, rank in ranks.value.items()}
+        tokens = {rank: token for token, rank in ranks.value[0].items()}
 
         def column(lists: pa.Array) -> pa.Array:
             ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)

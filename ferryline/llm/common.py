@@ -46,8 +46,15 @@ def set_aside(rows: DataFrame, used: tuple[str, ...]) -> tuple[DataFrame, list[C
 
 
 def in_parts(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """A batch in slices of about ``most`` bytes of a column, so that tasks hold few words at once."""
-    sizes = pc.binary_length(batch.column(batch.schema.get_field_index(column)))
+    """A batch in slices of about ``most`` bytes of a column, so that tasks hold few words at once.
+
+    The column is binary, or a list of 32-bit numbers.
+    """
+    values = batch.column(batch.schema.get_field_index(column))
+    if pa.types.is_list(values.type):
+        sizes = pc.multiply(pc.list_value_length(values), 4)
+    else:
+        sizes = pc.binary_length(values)
     ends = np.cumsum(sizes.fill_null(0).to_numpy(zero_copy_only=False))
     start = 0
     while start < batch.num_rows:

@@ -337,7 +337,7 @@ def test_odd_rows_are_dealt(odd):
 
 def test_long_runs_round_trip(spark, odd):
     ranks = {bytes([i]): i for i in range(256)} | {b"aa": 256, b"aaaa": 257, b"ab": 258, b"\xc3\xa9": 259}
-    shared = spark.sparkContext.broadcast(ranks)
+    shared = bpe.share_vocabulary(spark, ranks)
     assert bpe.merge(b"aaaaa", ranks, 4) == [257, 97]
     assert bpe.merge(b"aab", ranks, 4) == [256, 98]
     found = bpe.decode(bpe.encode(clashing(odd), shared, r"\S+|\s+"), shared).collect()
@@ -349,6 +349,21 @@ def test_long_runs_round_trip(spark, odd):
     assert bpe.encode(odd.limit(0), shared, r"\S+").count() == 0
 
 
+def test_forgetting_changes_nothing(monkeypatch):
+    ranks = {bytes([i]): i for i in range(256)} | {b"ab": 256, b"abab": 257}
+    texts = [" ".join(random.Random(i).choice(["ab", "abab", "b", f"a{i}b"]) for _ in range(50)) for i in range(20)]
+
+    def run():
+        made, encode = bytearray(), bpe.encoder(ranks, r"\S+|\s+", {"young": {}, "old": {}})
+        for text in texts:
+            encode(text, made)
+        return made
+
+    whole = run()
+    monkeypatch.setattr(bpe, "REMEMBERED", 2)
+    assert run() == whole
+
+
 def test_tree_merges_as_the_plain_rule_does():
     rng = random.Random(6)
     ranks = {bytes([i]): i for i in range(256)}
@@ -356,8 +371,8 @@ def test_tree_merges_as_the_plain_rule_does():
         a, b = rng.choice(list(ranks)), rng.choice(list(ranks))
         if set(a + b) <= set(b"abc") and len(a + b) <= 9:
             ranks.setdefault(a + b, len(ranks))
-    for _ in range(200):
-        piece = bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 60)))
+    for length in [*[rng.randrange(1, 60) for _ in range(200)], 300, 700]:
+        piece = bytes(rng.choice(b"abc") for _ in range(length))
         parts = [bytes([c]) for c in piece]
         while piece not in ranks:
             pairs = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in ranks]
