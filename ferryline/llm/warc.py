@@ -16,8 +16,8 @@ import io
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
-from urllib.parse import urljoin
+from collections.abc import Iterable, Iterator
+from urllib.parse import urljoin, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -44,9 +44,12 @@ _SILENT = "script|style|template|noscript|svg|math|head"
 
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
 _QUIET = re.compile(rf"<({_SILENT})\b[^>]*+>.*?(?:</\1\s*+>|\Z)", re.S | re.I)
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[/!?a-zA-Z][^>]*+(?:>|\Z)""")
+_ATTRIBUTES = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
+_BREAK = re.compile(rf"</?(?:{'|'.join(_BLOCKS)})(?=[\s/>]){_ATTRIBUTES}>", re.I)
+_TAG = re.compile(rf"</?[a-zA-Z]{_ATTRIBUTES}>|<[/!?a-zA-Z][^>]*+(?:>|\Z)")
 _TITLE = re.compile(r"<title\b[^>]*+>(.*?)(?:</title\s*+>|\Z)", re.S | re.I)
 _HREF = re.compile(r"""<a\s(?:[^>]*?\s)?href\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"']++)""", re.I)
+_PLAIN_PATH = re.compile(r"/(?:[\w~!$&'()*+,=:@%-][\w~!$&'()*+,=:@%/-]*+)?", re.A)
 _META_CHARSET = re.compile(rb"""<meta\s[^>]*?charset\s*=\s*["']?([\w.:-]+)""", re.I)
 _LANG = re.compile(r"""<html\s[^>]*?\blang\s*=\s*["']?([\w-]+)""", re.I)
 
@@ -115,16 +118,16 @@ def decoded(headers: list[tuple[str, str]], body: bytes) -> tuple[str, str]:
     raise AssertionError("UTF-8 is always known")
 
 
-def plain_text(markup: str) -> str:
-    """The text of a page: a line for each block, white space folded, no empty lines."""
-    markup = _QUIET.sub(" ", _COMMENT.sub("", markup))
-    markup = re.sub(r"\s+", " ", markup)
-    markup = _TAG.sub(lambda m: "\n" if m[2] and m[2].lower() in _BREAKS else "", markup)
-    lines = (" ".join(line.split()) for line in html.unescape(markup).split("\n"))
-    return "\n".join(line for line in lines if line)
+def visible(markup: str) -> str:
+    """Markup without comments and elements whose content is no text."""
+    return _QUIET.sub(" ", _COMMENT.sub("", markup))
 
 
-_BREAKS = frozenset(_BLOCKS)
+def plain_text(shown: str) -> str:
+    """The text of :func:`visible` markup: a line for each block, white space folded, no empty lines."""
+    shown = _TAG.sub("", _BREAK.sub("\n", " ".join(shown.split())))
+    lines = (" ".join(line.split()) for line in html.unescape(shown).split("\n"))
+    return "\n".join(line for line in lines if line)
 
 
 def _record(kind: str, source: dict, content_type: str, block: bytes, checksum: str) -> dict:
@@ -156,6 +159,8 @@ def _record(kind: str, source: dict, content_type: str, block: bytes, checksum:
 
 
 def _one_line(value: str) -> str:
+    if "\n" not in value and "\r" not in value:
+        return value
     return re.sub(r"[\r\n]+", " ", value)
 
 
@@ -180,10 +185,11 @@ def derived(source: dict) -> list[dict]:
             facts.append(("title", " ".join(html.unescape(title[1]).split())))
         if lang := _LANG.search(text):
             facts.append(("language", lang[1].lower()))
-        visible = _QUIET.sub("", _COMMENT.sub("", text))
-        for link in dict.fromkeys(html.unescape(m.strip("\"'")).strip() for m in _HREF.findall(visible)):
-            facts.append(("outlink", _absolute(source["target_uri"], link)))
-        text = plain_text(text)
+        shown = visible(text)
+        links = (html.unescape(m.strip("\"'")).strip() for m in _HREF.findall(shown))
+        for link in _outlinks(source["target_uri"], dict.fromkeys(links)):
+            facts.append(("outlink", link))
+        text = plain_text(shown)
     block = "".join(f"{name}: {_one_line(value)}\r\n" for name, value in facts).encode("utf-8", "replace")
     records = [_record("metadata", source, "application/warc-fields", block, checksum)]
     if text is not None:
@@ -192,11 +198,22 @@ def derived(source: dict) -> list[dict]:
     return records
 
 
-def _absolute(base: str | None, link: str) -> str:
+def _outlinks(base: str | None, links: Iterable[str]) -> Iterator[str]:
+    """Links as addresses; those that cannot be resolved as they stand."""
     try:
-        return urljoin(base or "", link)
+        parts = urlsplit(base or "")
+        root = f"{parts.scheme}://{parts.netloc}" if parts.scheme and parts.netloc else None
     except ValueError:
-        return link
+        root = None
+    for link in links:
+        # A plain path from the root needs no resolving, and most links are such.
+        if root is not None and _PLAIN_PATH.fullmatch(link):
+            yield root + link
+            continue
+        try:
+            yield urljoin(base or "", link)
+        except ValueError:
+            yield link
 
 
 def derive(responses: DataFrame, *, keep: tuple[str, ...] = ()) -> DataFrame:
