@@ -319,7 +319,7 @@ def near_duplicates(documents: DataFrame, settings: Settings = Settings()) -> Da
 
 
 def sql(settings: Settings = Settings()) -> str:
-    """The same in DuckDB's SQL, by a join of all shingles."""
+    """The same in DuckDB's SQL, by a join of the hashes of all shingles that are there twice."""
     k = settings.width
     lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return f"""
@@ -327,12 +327,15 @@ def sql(settings: Settings = Settings()) -> str:
       SELECT doc_id, [x for x in string_split_regex({lower}, '[{SPACE}]+') if x <> ''] AS w
       FROM documents),
     s AS (
-      SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {k} THEN [array_to_string(w, ' ')]
-        ELSE list_distinct([array_to_string(w[i:i + {k - 1}], ' ') for i in range(1, len(w) - {k - 2})])
+      SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {k} THEN [hash(array_to_string(w, ' '))]
+        ELSE list_distinct([hash(array_to_string(w[i:i + {k - 1}], ' '))
+                            for i in range(1, len(w) - {k - 2})])
         END AS s FROM w),
     e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+    m AS (SELECT g FROM e GROUP BY g HAVING count(*) > 1),
+    f AS (SELECT e.* FROM e SEMI JOIN m USING (g)),
     p AS (
-      SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id
+      SELECT a.doc_id AS a, b.doc_id AS b FROM f a JOIN f b ON a.g = b.g AND a.doc_id <> b.doc_id
       GROUP BY ALL
       HAVING 100 * count(*) >= {settings.similar} * (any_value(a.n) + any_value(b.n) - count(*))),
     r(id, reached) AS (
