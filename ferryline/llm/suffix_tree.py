@@ -1,16 +1,16 @@
 """Scoring texts by a probabilistic suffix tree with contexts of variable length.
 
-The tree's alphabet is bounded whatever the corpus: a word that makes up a least part of all
-tokens is a symbol of its own, any other goes by its form, a hash of its ending. A
-context of one more symbol becomes a candidate if it makes up that least part itself, so there are
-at most ``1 / least_part`` on each level. It is kept if its next-symbol distribution diverges from that
+A word that is there a least number of times is a symbol of its own, any other goes by its form, a
+hash of its ending. A context of one more symbol becomes a candidate if it is there that often itself, so
+symbols and contexts grow with the corpus. It is kept if its next-symbol distribution diverges from that
 of the longest suffix kept before it; the test is the gain in log-likelihood for one token, each
 token left out of the counts it is scored by. Distributions are smoothed with those of that
 suffix, by as many pseudo-counts as different symbols were seen. A text is scored by the longest
 kept suffix at each place, and a word of a form by its share in the form.
 
-Only counts of words grow with the corpus. They stay distributed: a block of documents asks
-for the words it has, once each.
+Counts of words and of pairs of a context and its next symbol stay distributed, as do kept contexts. Level by
+level a block of documents gives its distinct pairs, and gets back their probabilities and which of them are contexts
+of the next level. :func:`grow` makes the same tree in memory, for small alphabets; the tests hold the tables against it.
 """
 
 from __future__ import annotations
@@ -26,21 +26,27 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferryline.llm.common import Scratch, in_parts, opened, settled, share
+from ferryline.llm.common import Scratch, broadcast_if_few, in_parts, opened, settled, share
+from ferryline.llm.minhash import mixed
 
 #: The end of a text; no word, since it is white space.
 END = b"\n"
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
 
 @dataclass(frozen=True)
 class Settings:
-    """``least_part`` bounds the symbols and the contexts of a level, ``forms`` the rest.
+    """``least_count`` : how often a word must be there to be a symbol, and symbols to be a context.
 
+    ``least_part`` : the same as a part of all tokens, for the tree in memory alone.
+    ``forms`` : classes of the words that are no symbols.
     ``least_gain`` : nats for one token by which a context must do better than its suffix.
     ``block_tokens`` : tokens of a block of documents that one task scores, on average.
     """
 
     depth: int = 3
+    least_count: int = 32
     least_part: float = 5e-4
     forms: int = 512
     ending: int = 3
@@ -287,26 +293,62 @@ def grow(texts: DataFrame, alphabet: Alphabet) -> Tree:
     return tree
 
 
-def score_blocks(documents: DataFrame, words: DataFrame, tree: Tree) -> DataFrame:
-    """Scores of all documents, each block of them with the counts of its own words.
+@dataclass(frozen=True)
+class Totals:
+    """What all tasks need of the counts; bounded by the number of forms."""
+
+    tokens: int
+    words: int
+    symbols: int
+    form_counts: np.ndarray
+    form_words: np.ndarray
+    settings: Settings
+
+
+def read_totals(words: DataFrame, settings: Settings) -> Totals:
+    """Sums over the counts of all words; gathers one row for each form."""
+    least = settings.least_count
+    tokens, distinct, often = words.agg(
+        F.sum("n"), F.count(F.lit(1)), F.count(F.when(F.col("n") >= least, 1))
+    ).first()
+    by_form = words.where(F.col("n") < least).groupBy("form").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")
+    )
+    counts, different = np.zeros(settings.forms, np.int64), np.zeros(settings.forms, np.int64)
+    for row in by_form.collect():
+        counts[row.form], different[row.form] = row.n, row.words
+    return Totals(tokens or 0, distinct, often + settings.forms, counts, different, settings)
+
+
+_CODED = (
+    "block long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double,"
+    " share double, symbols array<long>, roots array<float>"
+)
+_ANSWERS = "block long, pair long, value double, found boolean, level int"
+_PAIRS = "block long, pair long, context long, below long, n long"
+_LONGS, _FLOATS = (pa.list_(pa.field("element", t)) for t in (pa.int64(), pa.float32()))
 
-    ``documents`` has ``doc_id, held_out, text`` (bytes). The texts move once, to their blocks; of words
-    that are no symbols a block sends each distinct one, and gets its count back.
+
+def coded(documents: DataFrame, words: DataFrame, totals: Totals) -> DataFrame:
+    """Documents in blocks, their words as symbols: the key of a frequent word, or its form.
+
+    ``roots`` : log10 of the probability of each symbol by itself.
+    ``documents`` has ``doc_id, held_out, text`` (bytes). The texts move once, to their blocks; a block
+    sends each distinct word once, and gets its count back.
     """
-    settings = tree.alphabet.settings
-    blocks = max(1, math.ceil(1.25 * tree.alphabet.tokens / settings.block_tokens))
-    shared = share(documents.sparkSession, tree)  # bounded by the settings
+    settings = totals.settings
+    blocks = max(1, math.ceil(1.25 * totals.tokens / settings.block_tokens))
+    shared = share(documents.sparkSession, totals)  # bounded by the settings
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks))
     dealt = documents.withColumn("block", block).repartition(blocks, "block")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = opened(shared).alphabet.frequent
         for batch in (part for whole in batches for part in in_parts(whole, "text")):
             texts = batch.column(batch.schema.get_field_index("text"))
             numbers = batch.column(batch.schema.get_field_index("block")).to_numpy()
             for number in np.unique(numbers):
                 _, _, distinct = split_texts(texts.take(pa.array(np.flatnonzero(numbers == number))))
-                keys = [word_key(w) for w in distinct if w not in frequent]
+                keys = [word_key(w) for w in distinct]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(keys), number, np.int64)), pa.array(keys, pa.int64())],
                     names=["block", "key"],
@@ -316,42 +358,213 @@ def score_blocks(documents: DataFrame, words: DataFrame, tree: Tree) -> DataFram
     answers = asked.join(words.select("key", "n"), "key").select("block", "key", "n")
 
     def answer(texts: pa.Table, counts: pa.Table) -> pa.Table:
-        tree = opened(shared)
-        alphabet, own = tree.alphabet, len(tree.alphabet.frequent)
-        order = np.argsort(counts["key"].to_numpy())
-        keys, numbers = (counts[c].to_numpy()[order] for c in ("key", "n"))
+        totals = opened(shared)
         codes, owner, distinct = split_texts(texts["text"].combine_chunks())
-        symbols = alphabet.symbols(distinct)
+        keys = np.array([word_key(w) for w in distinct], np.int64)
         known = np.zeros(len(distinct))
-        known[symbols < own] = alphabet.counts[symbols[symbols < own]]
-        rare = np.flatnonzero(symbols >= own)
-        if len(keys) and len(rare):
-            at, there = look_up(keys, np.array([word_key(distinct[i]) for i in rare], np.int64))
-            known[rare[there]] = numbers[at[there]]
-        base = np.log10((known + 0.5) / (alphabet.tokens + 0.5 * (alphabet.words + 1)))
-        share = np.zeros(len(distinct))
-        forms = symbols[rare] - own
-        total = alphabet.counts[symbols[rare]] + 0.5 * (alphabet.form_words[forms] + 1)
-        share[rare] = np.log10((known[rare] + 0.5) / total)
-        each = tree.log10(symbols[codes], owner) + share[codes]
+        if counts.num_rows:
+            order = np.argsort(counts["key"].to_numpy())
+            at, there = look_up(counts["key"].to_numpy()[order], keys)
+            known[there] = counts["n"].to_numpy()[order][at[there]]
+        base = np.log10((known + 0.5) / (totals.tokens + 0.5 * (totals.words + 1)))
+        rare = np.flatnonzero(known < totals.settings.least_count)
+        forms = np.array([form(distinct[i], totals.settings) for i in rare], np.int64)
+        symbols, part, often = keys, np.zeros(len(distinct)), known.copy()
+        symbols[rare], often[rare] = forms, totals.form_counts[forms]
+        roots = np.log10((often + 0.5) / (totals.tokens + 0.5 * totals.symbols)).astype(np.float32)
+        total = totals.form_counts[forms] + 0.5 * (totals.form_words[forms] + 1)
+        part[rare] = np.log10((known[rare] + 0.5) / total)
         rows = texts.num_rows
+        sizes = np.bincount(owner, minlength=rows)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
 
         def summed(values: np.ndarray) -> np.ndarray:
-            return np.bincount(owner, values, minlength=rows)
+            return np.bincount(owner, values[codes], minlength=rows)
 
         return pa.table(
             {
+                "block": texts["block"],
                 "doc_id": texts["doc_id"],
                 "held_out": texts["held_out"],
-                "n_tokens": pa.array(np.bincount(owner, minlength=rows), pa.int64()),
-                "n_known": pa.array(summed((known > 0)[codes]).astype(np.int64)),
-                "base_score": pa.array(summed(base[codes])),
-                "score": pa.array(summed(each)),
+                "n_tokens": pa.array(sizes, pa.int64()),
+                "n_known": pa.array(summed(known > 0).astype(np.int64)),
+                "base_score": pa.array(summed(base)),
+                "share": pa.array(summed(part)),
+                "symbols": pa.ListArray.from_arrays(offsets, pa.array(symbols[codes]), type=_LONGS),
+                "roots": pa.ListArray.from_arrays(offsets, pa.array(roots[codes]), type=_FLOATS),
             }
         )
 
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(answer, _CODED)
+
+
+def windows(symbols: np.ndarray, longest: int) -> list[np.ndarray]:
+    """For each length from 1 a number for the symbols up to each place, that one included."""
+    made = [symbols]
+    given = symbols.view(np.uint64)
+    with np.errstate(over="ignore"):
+        for length in range(2, longest + 1):
+            before = np.concatenate([[0], made[-1][:-1]]).astype(np.int64).view(np.uint64)
+            made.append(mixed(mixed(before + np.uint64(length)) * _ODD + given).view(np.int64))
+    return made
+
+
+def block_pairs(rows: pa.Table, level: int, known: np.ndarray) -> pa.Table:
+    """The distinct pairs of a context of ``level`` symbols and the next one, of contexts in ``known``.
+
+    ``pair`` is the number of both, ``below`` that of the pair without its first symbol, ``n``
+    how often the training texts of the block have it.
+    """
+    symbols, owner = _flat(rows)
+    made = windows(symbols, level + 1)
+    places = np.arange(level, len(symbols))
+    places = places[owner[places] == owner[places - level]]
+    if len(known):
+        _, there = look_up(known, made[level - 1][places - 1])
+        places = places[there]
+    else:
+        places = places[:0]
+    pairs, first, inverse = np.unique(made[level][places], return_index=True, return_inverse=True)
+    learned = ~rows["held_out"].combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
+    counts = np.bincount(inverse, learned[owner[places]], minlength=len(pairs)).astype(np.int64)
+    return pa.table(
+        {
+            "block": pa.array(np.full(len(pairs), rows["block"][0].as_py(), np.int64)),
+            "pair": pa.array(pairs),
+            "context": pa.array(made[level - 1][places - 1][first]),
+            "below": pa.array(made[level - 1][places][first]),
+            "n": pa.array(counts),
+        }
+    )
+
+
+def _flat(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of all rows, and the row of each."""
+    listed = rows["symbols"].combine_chunks()
+    sizes = np.diff(listed.offsets.to_numpy())
+    symbols = listed.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    return symbols, np.repeat(np.arange(len(sizes)), sizes)
+
+
+def first_pairs(blocks: DataFrame, totals: Totals) -> DataFrame:
+    """:func:`block_pairs` of single symbols, which tell by themselves whether they are contexts."""
+    shared = share(blocks.sparkSession, totals)  # bounded by the settings
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = opened(shared)
+        least, forms = totals.settings.least_count, totals.settings.forms
+        for batch in (part for whole in batches for part in in_parts(whole, "symbols")):
+            numbers = batch.column(0).to_numpy()
+            for number in np.unique(numbers):
+                rows = pa.Table.from_batches([batch]).take(pa.array(np.flatnonzero(numbers == number)))
+                known = np.unique(_flat(rows)[0])
+                is_form = (known >= 0) & (known < forms)
+                few = totals.form_counts[np.where(is_form, known, 0)] < least
+                yield from block_pairs(rows, 1, known[~(is_form & few)]).to_batches()
+
+    return blocks.select("block", "held_out", "symbols").mapInArrow(run, _PAIRS)
+
+
+def level_pairs(blocks: DataFrame, level: int, often: DataFrame) -> DataFrame:
+    """:func:`block_pairs` of all blocks; ``often`` has ``block, pair``, the contexts of this level."""
+
+    def run(rows: pa.Table, known: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return pa.table({c: pa.array([], pa.int64()) for c in ("block", "pair", "context", "below", "n")})
+        return block_pairs(rows, level, np.sort(known["pair"].to_numpy()))
+
+    given = blocks.select("block", "held_out", "symbols")
+    return given.groupBy("block").cogroup(often.groupBy("block")).applyInArrow(run, _PAIRS)
+
+
+def root_level(words: DataFrame, totals: Totals) -> DataFrame:
+    """``pair, n, p`` of the symbols themselves."""
+    listed = [(i, int(n)) for i, n in enumerate(totals.form_counts)]
+    forms = words.sparkSession.createDataFrame(listed, "pair long, n long")
+    own = words.where(F.col("n") >= totals.settings.least_count).select(F.col("key").alias("pair"), "n")
+    p = (F.col("n") + 0.5) / (totals.tokens + 0.5 * totals.symbols)
+    return own.unionByName(forms).withColumn("p", p)
+
+
+def learned_level(
+    pairs: DataFrame, shorter: DataFrame, level: int, settings: Settings, scratch: Scratch
+) -> tuple[DataFrame, DataFrame]:
+    """``pair, n, p`` of all pairs seen, and ``context, weight`` of the kept contexts.
+
+    ``shorter`` is the first of these for the level before. ``p`` is the probability in the longest
+    kept suffix of the context, itself included; ``weight`` is what a context leaves to its
+    suffix for symbols not seen in it.
+    """
+    counted = pairs.where("n > 0").groupBy("pair").agg(
+        F.sum("n").alias("n"), F.first("context").alias("context"), F.first("below").alias("below")
+    )
+    counted = scratch.keep(counted, f"counted-{level}")
+    sums = counted.groupBy("context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("seen"))
+    sums = scratch.keep(sums, f"sums-{level}")
+    behind = shorter.select(F.col("pair").alias("below"), F.col("p").alias("behind"))
+    held = counted.join(behind, "below").drop("below").join(broadcast_if_few(sums), "context")
+    held = scratch.keep(held, f"held-{level}")
+    scratch.drop(f"counted-{level}")
+    n, seen, total, suffix = (F.col(c) for c in ("n", "seen", "total", "behind"))
+    without = (n - 1 + seen * suffix) / F.greatest(total - 1 + seen, F.lit(1))
+    gain = held.groupBy("context").agg(F.sum(n * F.log(without / suffix)).alias("gain"))
+    good = gain.join(sums, "context").where(F.col("gain") / total >= settings.least_gain)
+    good = scratch.keep(good.select("context", (seen / (total + seen)).alias("weight")), f"good-{level}")
+    p = F.when(F.col("weight").isNull(), suffix).otherwise((n + seen * suffix) / (total + seen))
+    known = held.join(broadcast_if_few(good), "context", "left").select("pair", "n", p.alias("p"))
+    known = scratch.keep(known, f"known-{level}")
+    scratch.drop(f"held-{level}")
+    return known, good
+
+
+def answered(pairs: DataFrame, known: DataFrame, good: DataFrame, least: int) -> DataFrame:
+    """What blocks get back for their pairs: ``block, pair, value, found, often``.
+
+    ``value`` is the probability if the pair was ``found``, else the weight of its context.
+    """
+    known = known.select("pair", "p", (F.col("n") >= least).alias("often"))
+    found = pairs.where("n > 0").join(known, "pair").select(
+        "block", "pair", F.col("p").alias("value"), F.lit(True).alias("found"), "often"
+    )
+    # Pairs of held-out texts alone may have been seen in another block, or nowhere.
+    others = pairs.where("n = 0").join(known, "pair", "left").join(broadcast_if_few(good), "context", "left")
+    others = others.where("p IS NOT NULL OR weight IS NOT NULL").select(
+        "block",
+        "pair",
+        F.coalesce("p", "weight").alias("value"),
+        F.col("p").isNotNull().alias("found"),
+        F.coalesce("often", F.lit(False)).alias("often"),
+    )
+    return found.unionByName(others)
+
+
+def score_blocks(blocks: DataFrame, answers: DataFrame, depth: int) -> DataFrame:
+    """Scores of all documents; ``answers`` are those of all levels, with their ``level``."""
+
+    def run(rows: pa.Table, given: pa.Table) -> pa.Table:
+        symbols, owner = _flat(rows)
+        made = windows(symbols, depth + 1)
+        roots = rows["roots"].combine_chunks().flatten()
+        each = roots.to_numpy(zero_copy_only=False).astype(np.float64)
+        levels = given["level"].to_numpy()
+        for level in range(1, depth + 1):
+            mine = np.flatnonzero(levels == level)
+            if not len(mine):
+                continue
+            pairs, values, found = (given[c].to_numpy()[mine] for c in ("pair", "value", "found"))
+            order = np.argsort(pairs)
+            places = np.arange(level, len(symbols))
+            places = places[owner[places] == owner[places - level]]
+            at, there = look_up(pairs[order], made[level][places])
+            places, at = places[there], order[at[there]]
+            logs = np.log10(values[at])
+            each[places] = np.where(found[at], logs, each[places] + logs)
+        score = np.bincount(owner, each, minlength=rows.num_rows) + rows["share"].to_numpy()
+        kept = ("doc_id", "held_out", "n_tokens", "n_known", "base_score")
+        return pa.table({**{c: rows[c] for c in kept}, "score": pa.array(score)})
+
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(answer, schema)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 
 def scores(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -369,7 +582,25 @@ def scores(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     texts = rows.where(~F.col("held_out")).select("text")
     with Scratch(documents.sparkSession) as scratch:
         words = scratch.keep(word_counts(texts, settings), "words")
-        alphabet = read_alphabet(texts, words, settings)
-        tree = grow(texts, alphabet)
-        made = score_blocks(rows, words, tree)
-        return settled(made.withColumn("train_tokens", F.lit(alphabet.tokens).cast("long")))
+        totals = read_totals(words, settings)
+        blocks = scratch.keep(coded(rows, words, totals), "coded")
+        # Shuffled files that nothing refers to go when the driver collects its garbage.
+        documents.sparkSession._jvm.System.gc()
+        known = scratch.keep(root_level(words, totals), "known-0")
+        scratch.drop("words")
+        answers = documents.sparkSession.createDataFrame([], _ANSWERS)
+        for level in range(1, settings.depth + 1 if totals.tokens else 1):
+            made = first_pairs(blocks, totals) if level == 1 else level_pairs(blocks, level, often)
+            pairs = scratch.keep(made, f"pairs-{level}")
+            known, good = learned_level(pairs, known, level, settings, scratch)
+            given = scratch.keep(answered(pairs, known, good, settings.least_count), f"answers-{level}")
+            scratch.drop(f"pairs-{level}")
+            scratch.drop(f"known-{level - 1}")
+            often = given.where("often").select("block", "pair")
+            answers = answers.unionByName(
+                given.select("block", "pair", "value", "found", F.lit(level).alias("level"))
+            )
+            del made
+            documents.sparkSession._jvm.System.gc()
+        made = score_blocks(blocks, answers, settings.depth)
+        return settled(made.withColumn("train_tokens", F.lit(totals.tokens).cast("long")))

@@ -166,6 +166,49 @@ def test_tree_is_that_of_dictionaries(spark):
     assert np.allclose((10 ** tree.logs.astype(float)).sum(1), 1, atol=1e-4)
 
 
+def test_scores_are_those_of_the_tree_in_memory(documents):
+    """Scores from the tables, held-out texts and unseen pairs included, over several blocks."""
+    rng, rows = random.Random(6), []
+    for i in range(200):
+        words, last = [], "a"
+        for _ in range(rng.randrange(1, 120)):
+            last = {"a": "b", "b": rng.choice("cd"), "d": "a" if words[-2:-1] == ["b"] else "e"}.get(
+                last, rng.choice(["a", "b", "d", "e", "f", f"x{rng.randrange(400)}"])
+            )
+            words.append(last)
+        rows.append((i, " ".join(words)))
+    frame = documents(*rows).repartition(3)
+    learned = frame.where(~suffix_tree.held_out()).select(F.col("text").cast("binary"))
+    with Scratch(frame.sparkSession) as scratch:
+        words = scratch.keep(suffix_tree.word_counts(learned, suffix_tree.Settings(forms=16)), "words")
+        tokens = words.agg(F.sum("n")).first()[0]
+        settings = suffix_tree.Settings(least_count=20, least_part=20 / tokens, forms=16, block_tokens=1500)
+        alphabet = suffix_tree.read_alphabet(learned, words, settings)
+        tree = suffix_tree.grow(learned, alphabet)
+        counts = {r.key: r.n for r in words.collect()}
+    assert [len(k) > 3 for k in tree.keys] == [True] * 3
+    found = {r.doc_id: r.score for r in suffix_tree.scores(frame, settings).collect()}
+    for i, text in rows:
+        listed = [*text.encode().split(), suffix_tree.END]
+        symbols = np.array([alphabet.symbol(w) for w in listed])
+        score = tree.log10(symbols, np.zeros(len(symbols), np.int64)).sum()
+        for word, symbol in zip(listed, symbols, strict=True):
+            if word not in alphabet.frequent:
+                total = alphabet.counts[symbol] + 0.5 * (alphabet.form_words[symbol - len(alphabet.frequent)] + 1)
+                score += math.log10((counts.get(suffix_tree.word_key(word), 0) + 0.5) / total)
+        assert found[i] == pytest.approx(score, rel=1e-5)
+
+
+def test_symbols_and_contexts_grow_with_the_texts(documents):
+    """Words and contexts far below 1/2000 of all tokens are learned from if they are there often enough."""
+    filler = [(i, prose(i, 1000)) for i in range(300)]
+    rare = [(1000 + i, "qx zzq " * 2) for i in range(40)]
+    found = {r.doc_id: r for r in suffix_tree.scores(documents(*filler, *rare)).collect()}
+    assert found[1000].train_tokens > 200_000
+    # After "qx" comes "zzq" alone.
+    assert found[1000].score > found[1000].base_score + 4
+
+
 def test_odd_texts_are_scored(odd):
     found = suffix_tree.scores(clashing(odd)).collect()
     assert len(found) == 11
