@@ -580,6 +580,21 @@ def test_stages_in_order(spark, sf_dir, tmp_path):
     assert corpus_pipeline.run(spark, sf_dir).count() == out.count()
 
 
+def test_stage_links_at_four_fifths(spark, documents, sf_dir):
+    """Pairs from 0.80 to 0.85 are one document to the stage, those below are two."""
+    rows, similar = [], {}
+    for i in range(60):
+        words = prose(700 + i, 200).split()
+        other = [*words[: 200 - 18 - i % 8], *(f"x{i}y{j}" for j in range(18 + i % 8))]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        similar[i] = jaccard(shingles(rows[-2][1]), shingles(rows[-1][1]))
+    assert any(0.8 <= s < 0.85 for s in similar.values()) and any(s < 0.8 for s in similar.values())
+    left = {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, documents(*rows), sf_dir).collect()}
+    assert left == {2 * i for i in similar} | {2 * i + 1 for i, s in similar.items() if s < 0.8}
+    near = corpus_pipeline.NEAR
+    assert (1 - (near.similar / 100) ** near.rows) ** near.bands < 1e-9
+
+
 def test_stages_take_odd_rows(spark, odd, sf_dir):
     for name, stage in corpus_pipeline.STAGES[:4]:
         for given in (clashing(odd), clashing(odd).limit(0)):
