@@ -40,10 +40,12 @@ _BLOCKS = (
     " footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main nav ol option p pre section"
     " select summary table tbody td tfoot th thead title tr ul"
 ).split()
-_SILENT = "script|style|template|noscript|svg|math|head"
+_SILENT = "script style template noscript svg math".split()
 
-_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
-_QUIET = re.compile(rf"<({_SILENT})\b[^>]*+>.*?(?:</\1\s*+>|\Z)", re.S | re.I)
+_COMMENT_END = re.compile(r"--!?>")
+_QUIET = re.compile(rf"<(!--|(?:{'|'.join(_SILENT)}|/?head|body)(?=[\s/>]))", re.I)
+_CLOSING = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I) for name in _SILENT}
+_UNQUOTED_END = re.compile(r"""=\s*+[^\s"'>]++\Z""")
 _ATTRIBUTES = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 _BREAK = re.compile(rf"</?(?:{'|'.join(_BLOCKS)})(?=[\s/>]){_ATTRIBUTES}>", re.I)
 _TAG = re.compile(rf"</?[a-zA-Z]{_ATTRIBUTES}>|<[/!?a-zA-Z][^>]*+(?:>|\Z)")
@@ -118,9 +120,49 @@ def decoded(headers: list[tuple[str, str]], body: bytes) -> tuple[str, str]:
     raise AssertionError("UTF-8 is always known")
 
 
-def visible(markup: str) -> str:
-    """Markup without comments and elements whose content is no text."""
-    return _QUIET.sub(" ", _COMMENT.sub("", markup))
+def visible(markup: str, *, xml: bool = False) -> str:
+    """Markup without comments and elements whose content is no text.
+
+    What begins first counts: a comment in a script is script, a script in a comment is comment. The
+    head ends at ``</head>`` or ``<body``. An element that is not closed loses its tag alone, but a script
+    or style goes on to the end, and is never closed by its own tag unless ``xml``.
+    """
+    parts: list[str] = []
+    at = place = 0  # all before ``at`` is in parts or left out; all before ``place`` is looked at
+    head, unclosed = None, set()
+    while found := _QUIET.search(markup, place):
+        start, name = found.start(), found[1].lower()
+        if name == "!--":
+            end = _COMMENT_END.search(markup, start + 2)
+            parts.append(markup[at:start])
+            at = place = end.end() if end else len(markup)
+            continue
+        after = place = markup.find(">", start) + 1
+        if not after:
+            break
+        if name in ("/head", "body"):
+            if head is not None:
+                parts[head:] = [" "]
+                at, head = (after if name == "/head" else start), None
+            continue
+        tag = markup[start:after]
+        closed = tag.endswith("/>") and not _UNQUOTED_END.search(tag[:-1])
+        if name == "head":
+            if head is None and not closed:
+                parts.append(markup[at:start])
+                at, head = start, len(parts)
+            continue
+        raw = name in ("script", "style")
+        if not closed or (raw and not xml):
+            end = None if name in unclosed else _CLOSING[name].search(markup, after)
+            if end is None and not raw:
+                unclosed.add(name)
+                continue
+            after = end.end() if end else len(markup)
+        parts += [markup[at:start], " "]
+        at = place = after
+    parts.append(markup[at:])
+    return "".join(parts)
 
 
 def plain_text(shown: str) -> str:
@@ -185,7 +227,7 @@ def derived(source: dict) -> list[dict]:
             facts.append(("title", " ".join(html.unescape(title[1]).split())))
         if lang := _LANG.search(text):
             facts.append(("language", lang[1].lower()))
-        shown = visible(text)
+        shown = visible(text, xml=media == "application/xhtml+xml")
         links = (html.unescape(m.strip("\"'")).strip() for m in _HREF.findall(shown))
         for link in _outlinks(source["target_uri"], dict.fromkeys(links)):
             facts.append(("outlink", link))

@@ -82,6 +82,35 @@ def test_derivatives_of_a_coded_page():
     assert [b["headers"]["WARC-Block-Digest"] for b in back] == [warc.digest(b["block"]) for b in back]
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<html><head><title>t</title><body><p>all of the text</p>", "all of the text"),
+        ("<head><script>'<body>'</script><meta></head>a<head>b", "a\nb"),
+        ("<head><title>t</title><p>a</p>", "t\na"),
+        ("<header>a</header><head-line>b</head-line>", "a\nb"),
+        ("a <svg width='1'/> b <svg><text>no</text></svg> c", "a b c"),
+        ("a <svg-icon>b</svg-icon> c <svg>no</svg>", "a b c"),
+        ("a <svg> b <template> c <noscript> d <math> e <svg> f", "a b c d e f"),
+        ("a <template data=x/>no</template> b", "a b"),
+        ("a<script>'<!--'</script>b<style>/*<!--*/</style>c", "a b c"),
+        ("a<!-- <script> -->b<!-->c<!--no", "abc"),
+        ("a<script/>no</script>b<style>no", "a b"),
+    ],
+)
+def test_markup_that_ends_early_or_not_at_all(page, text):
+    assert warc.plain_text(warc.visible(page)) == text
+
+
+def test_links_stand_where_the_head_is_left_open():
+    head = b"HTTP/1.1 200 OK\r\nContent-Type: %s\r\n\r\n<head><script src='s'/><body><a href='/x'>y</a>"
+    for kind, text in ((b"application/xhtml+xml", "y"), (b"text/html", "")):
+        source = {"record_id": "<r>", "target_uri": "http://h/p", "date": "d", "block": head % kind}
+        meta, made = warc.derived(source)
+        assert made["block"].decode() == text
+        assert ("outlink: http://h/x" in meta["block"].decode()) == bool(text)
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None), (None, "http://a", ""), (3, "http://[", "<p>" + "x" * 200_000), (4, "u", "a<b <!-- open"), (4, "u", "a<b <!-- open")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
