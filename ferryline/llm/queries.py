@@ -13,6 +13,7 @@ from ferryline.llm import (
     licenses,
     minhash,
     mixing,
+    prefix_tokens,
     quality_rules,
     sharding,
     subword,
@@ -24,8 +25,8 @@ from ferryline.llm.common import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-#: The vocabulary of the encoding, of a fixed size.
-RANKS = "byte_bpe_multi_50k.tiktoken"
+#: The vocabularies of the encoding and of the counts, of a fixed size.
+RANKS, PIECES = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
 
 
 def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +70,11 @@ def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subword.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_prefix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = prefix_tokens.share_vocabulary(spark, public_tokenizers.path(PIECES))
+    return prefix_tokens.counted(table(spark, sf_dir, "documents"), pieces)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -82,6 +88,7 @@ QUERIES: dict[str, Query] = {
         op8_cap_filters,
         op9_license_scan,
         op10_subword_quality,
+        op11_prefix_tokens,
     )
 }
 
