@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from ferryline.llm import (
     bpe,
     caps,
+    conversations,
     licenses,
     minhash,
     mixing,
     prefix_tokens,
     quality_rules,
     sharding,
+    spelling,
     subword,
     suffix_tree,
     warc,
@@ -75,6 +77,15 @@ def op11_prefix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_tokens.counted(table(spark, sf_dir, "documents"), pieces)
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    return conversations.report(conversations.damaged(given), ids=given)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -89,6 +100,8 @@ QUERIES: dict[str, Query] = {
         op9_license_scan,
         op10_subword_quality,
         op11_prefix_tokens,
+        op12_spelling,
+        op13_conversations,
     )
 }
 
