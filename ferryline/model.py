@@ -117,6 +117,11 @@ _CHILD = (
 #: An item document down to its grandchildren; whatever lies deeper is text in ``raw``.
 ELEMENT = f"STRUCT<tag: STRING, text: STRING, attrs: {_ATTRS}, children: ARRAY<{_CHILD}>>"
 
+_REFS = "ARRAY<STRUCT<ord: INT, map_type: STRING, source_id: STRING>>"
+
+#: A document's element, the references it holds, by place, and the file locations.
+DOCUMENT = f"STRUCT<element: {ELEMENT}, refs: {_REFS}, uris: ARRAY<STRING>>"
+
 
 def _strings(*names: str) -> list[T.StructField]:
     return [T.StructField(name, T.StringType()) for name in names]

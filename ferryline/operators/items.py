@@ -70,6 +70,16 @@ def owned_items(items: DataFrame) -> DataFrame:
     return others.drop("is_owner").unionByName(scans)
 
 
+def may_be_owned(items: DataFrame, project_map: DataFrame) -> DataFrame:
+    """Items of visited projects that a look at the row alone does not rule out; of scans all.
+
+    For keeping documents from being read that no one asks for: nothing moves.
+    """
+    visited = project_map.select(F.col("src_project").alias("project"))
+    rows = split_owned(items).where(F.col("is_owner") | (F.col("item_type") == "scan")).drop("is_owner")
+    return rows.join(visited, "project", "left_semi")
+
+
 def with_destination(items: DataFrame, project_map: DataFrame, project: str = "project") -> DataFrame:
     """Add the paired destination project's columns; other projects are not visited."""
     return items.join(project_map.withColumnRenamed("src_project", project), project)

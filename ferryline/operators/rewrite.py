@@ -9,11 +9,9 @@ from ferryline.functions import element as el
 from ferryline.functions.ids import id_namespace
 from ferryline.functions.paths import archive_path
 from ferryline.functions.uris import uri_mismatch
-from ferryline.functions.xmlio import parse_items
+from ferryline.functions.xmlio import parse_documents
 from ferryline.model import SERVER_WIDE, clark
-from ferryline.operators.identity import across_projects
 from ferryline.operators.items import with_destination
-from ferryline.operators.joins import split_join
 
 #: Identity of a visited item; scan ids are unique within their experiment only.
 ITEM_KEY = ["project", "item_type", "experiment_key", "id"]
@@ -37,71 +35,77 @@ def plannable(items: DataFrame) -> DataFrame:
     return items.select(*kept).where(F.col("map_type").isNotNull()).distinct()
 
 
-def resolve_references(
-    refs: DataFrame,
-    id_map: DataFrame,
-    planned: DataFrame | None = None,
-    *,
-    parts: int | None = None,
-) -> DataFrame:
-    """Add ``new_id``: the referring project's own mapping, else that of any project.
+def _within(map_type: Column, project: Column) -> Column:
+    """The project that a name belongs to; empty where names mean the same on the whole server."""
+    return F.when(map_type.isin(*SERVER_WIDE), "").otherwise(project)
 
-    Other projects are asked for ids that are unique on the whole server only: a scan's number means
-    nothing outside its project. With ``planned``, of :func:`plannable`, also ``is_planned``: whether the
-    name is that of an item still to be created, in the same way.
 
-    Many items name the same subject, session or scan number, so the distinct names are
-    counted and resolved first; the counts then tell which of them to split when the
-    result is handed back to the rows. Unresolved and empty names get null.
+def known_names(id_map: DataFrame, planned: DataFrame | None = None) -> DataFrame:
+    """What references are looked up in, one row for each name: ``within, map_type, source_id``.
+
+    ``own`` has the new id by project, ``any_id`` that of the earliest project; ``is_planned`` tells whether an item of
+    that name is still to be created. A name of the whole server is known to the projects that own such an item,
+    which are few; others to one project.
     """
-    on = ["project", "map_type", "source_id"]
-    names = refs.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
-    own = id_map.select(
-        F.col("src_project").alias("project"),
+    ids = id_map.select(
         "map_type",
         "source_id",
-        F.col("destination_id").alias("own_id"),
-    )
-    shared = F.col("map_type").isin(*SERVER_WIDE)
-    anywhere = across_projects(id_map.where(shared)).withColumnRenamed("destination_id", "any_id")
-    # Names are distinct per project here, so no key of these two joins is hot.
-    resolved = (
-        names.join(own, on, "left")
-        .join(anywhere, ["map_type", "source_id"], "left")
-        .withColumn("new_id", F.coalesce("own_id", "any_id"))
+        F.col("src_project").alias("project"),
+        F.struct("seq", "destination_id").alias("known"),
     )
-    flags = []
     if planned is not None:
-        elsewhere = planned.where(shared).select("map_type", "source_id").distinct()
-        resolved = resolved.join(planned.withColumn("_own", F.lit(True)), on, "left").join(
-            elsewhere.withColumn("_any", F.lit(True)), ["map_type", "source_id"], "left"
-        )
-        flags = [F.coalesce("_own", "_any", F.lit(False)).alias("is_planned")]
-    resolved = resolved.select(*on, "new_id", *flags)
-    return split_join(
-        refs, resolved, on, "left", split_by=["item_type", "experiment_key", "id", "ord"],
-        counts=names, parts=parts,
+        ids = ids.unionByName(planned.select("map_type", "source_id", "project", F.lit(None).alias("known")))
+    within = _within(F.col("map_type"), F.col("project"))
+    entry = F.when(F.col("known").isNotNull(), F.struct("project", F.col("known.destination_id").alias("id")))
+    return ids.groupBy(within.alias("within"), "map_type", "source_id").agg(
+        F.map_from_entries(F.collect_list(entry)).alias("own"),
+        F.min("known").getField("destination_id").alias("any_id"),
+        F.bool_or(F.col("known").isNull()).alias("is_planned"),
     )
 
 
+def resolve_references(
+    refs: DataFrame, id_map: DataFrame, planned: DataFrame | None = None
+) -> DataFrame:
+    """Add ``new_id``: the referring project's own mapping, else that of any project.
+
+    Other projects are asked for ids that are unique on the whole server only: a scan's number means
+    nothing outside its project. With ``planned``, of :func:`plannable`, also ``is_planned``: whether the
+    name is that of an item still to be created, in the same way. Unresolved and empty names get null.
+
+    One join to a table that is unique on the name: where many items refer to the same, adaptive execution splits them.
+    """
+    on = ["within", "map_type", "source_id"]
+    named = refs.withColumn("within", _within(F.col("map_type"), F.col("project")))
+    found = named.join(known_names(id_map, planned), on, "left")
+    new_id = F.coalesce(F.try_element_at("own", F.col("project")), "any_id")
+    flags = [] if planned is None else [F.coalesce("is_planned", F.lit(False)).alias("is_planned")]
+    return found.select(*refs.columns, new_id.alias("new_id"), *flags)
+
+
 def remap_references(
-    items: DataFrame, id_map: DataFrame, planned: DataFrame | None = None
+    references: DataFrame, id_map: DataFrame, planned: DataFrame | None = None
 ) -> DataFrame:
     """Per item ``new_ids MAP<ord, id>``, the ``pending`` and the ``unmapped`` references.
 
-    Pending are those to an item that is still to be created, unmapped those to nothing. The lists are bounded by the document the references stand in.
+    ``references`` has the columns of :func:`item_references`. Pending are those to an item that is still to be created,
+    with ``nth``, which of the document's references each is; unmapped are those to nothing. The lists are bounded by the document the references stand in.
     """
     ref = F.struct("ord", "map_type", "source_id")
-    resolved = resolve_references(item_references(items), id_map, planned)
+    resolved = resolve_references(references, id_map, planned)
     known = F.col("new_id").isNotNull()
     awaited = F.lit(False) if planned is None else F.col("is_planned")
-    return resolved.groupBy(*ITEM_KEY).agg(
+    found = resolved.groupBy(*ITEM_KEY).agg(
         F.map_from_entries(F.collect_set(F.when(known, F.struct("ord", "new_id")))).alias(
             "new_ids"
         ),
+        F.array_sort(F.collect_set("ord")).alias("places"),
         F.array_sort(F.collect_set(F.when(~known & awaited, ref))).alias("pending"),
         F.array_sort(F.collect_set(F.when(~known & ~awaited, ref))).alias("unmapped"),
     )
+    # Children go from documents on the way, references do not: the how manieth one it is stays true.
+    nth = lambda p: F.array_position("places", p["ord"]).cast("int") - 1
+    return found.withColumn("pending", F.transform("pending", lambda p: p.withField("nth", nth(p)))).drop("places")
 
 
 def rewritten_element(
@@ -151,7 +155,7 @@ def document_errors(
 
     # With a root missing every location is an error, otherwise those outside are.
     misplaced = F.filter(
-        el.item_uris(F.col("element.children")),
+        F.col("uris"),
         lambda uri: ~known_root | uri_mismatch(uri, src_path, bounded=bounded),
     )
     parts = [
@@ -176,6 +180,34 @@ def document_errors(
     return F.concat(*[F.coalesce(part, empty) for part in parts])
 
 
+_DOCUMENT_PARTS = ("element", "refs", "uris")
+
+
+def _held(items: DataFrame, facts: list[str]) -> DataFrame:
+    """``ITEM_KEY, held``: documents, and facts if wanted, at the place where all that has to do with an item meets.
+
+    Documents are parsed where they are read and move once. Two plans go on from here, one with the references and one
+    with the element, and Spark runs a shuffle once for both only if both want the same columns of it: hence one
+    column, from an array that parts are not cut out of, and the filter that either would add by itself.
+    """
+    items = with_item_key(items).where(F.expr(" AND ".join(f"{c} IS NOT NULL" for c in ITEM_KEY)))
+    if "element" in items.columns:
+        element = F.col("element")
+        refs = F.col("refs") if "refs" in items.columns else el.references(element["children"])
+        uris = F.col("uris") if "uris" in items.columns else el.item_uris(element["children"])
+        parts = [element, refs.alias("refs"), uris.alias("uris")]
+    else:
+        items = items.withColumn("_document", parse_documents("xml"))
+        parts = [F.col("_document")[part].alias(part) for part in _DOCUMENT_PARTS]
+    held = F.array(F.struct(*parts, F.struct(F.lit(1).alias("_"), *facts).alias("facts")))
+    return items.select(*ITEM_KEY, held.alias("held")).repartition(*ITEM_KEY)
+
+
+def _part(name: str) -> Column:
+    """A part of what is held."""
+    return F.get(F.transform("held", lambda d: d[name]), F.lit(0))
+
+
 def rewrite_items(
     items: DataFrame,
     project_map: DataFrame,
@@ -189,32 +221,34 @@ def rewrite_items(
 
     Items come with ``element``, or with ``xml`` that is parsed here. ``element`` is
     replaced, ``errors`` and ``pending`` are added; an item with errors cannot be created, one
-    with pending references not yet: they keep their old ids.
+    with pending references not yet: they keep their old ids. Items without a project, type or id are left out.
 
     ``chosen`` gives the items to rewrite, without their documents and with the columns of
-    :func:`~ferryline.operators.items.with_destination`. Choosing moves ids only; the documents of
-    chosen items alone are then moved, once, and parsed. ``planned`` is that of
-    :func:`resolve_references`.
+    :func:`~ferryline.operators.items.with_destination`. ``planned`` is that of :func:`resolve_references`.
     """
+    documents = ("xml", *_DOCUMENT_PARTS)
     if chosen is None:
-        joined = with_item_key(with_destination(items, project_map))
+        rows = with_destination(items, project_map)
+        facts = [c for c in rows.columns if c not in documents and c not in ITEM_KEY]
+        held = _held(rows, facts)
+        joined = held
     else:
-        held = [c for c in ("xml", "element", "refs") if c in items.columns]
-        documents = with_item_key(items).select(*ITEM_KEY, *held)
-        joined = with_item_key(chosen).join(documents, ITEM_KEY)
-    if "element" not in joined.columns:
-        joined = parse_items(joined)
+        held, facts = _held(items, []), []
+        joined = with_item_key(chosen).join(held, ITEM_KEY)
+    listed = F.explode_outer(_part("refs")).alias("ref")
+    refs = held.select(*ITEM_KEY, listed).where("ref IS NOT NULL").select(*ITEM_KEY, "ref.*")
     # Both sides stand on the key the documents were moved by, so they do not move again.
-    remapped = remap_references(joined, id_map, planned)
-    joined = joined.join(remapped, ITEM_KEY, "left")
+    joined = joined.join(remap_references(refs, id_map, planned), ITEM_KEY, "left")
+    opened = {part: _part(part) for part in (*_DOCUMENT_PARTS, "facts")}
+    joined = joined.withColumns(opened).withColumns({c: F.col("facts")[c] for c in facts})
     paths = {
         "src_path": archive_path(F.col("src_archive"), F.col("project")),
         "dst_path": archive_path(F.col("dst_archive"), F.col("dst_project")),
     }
     titles = {c: F.col(c) for c in ("dst_project", "dst_secondary_id", "dst_name")}
     kind = F.col("item_type")
-    used = ("element", "refs", "experiment_key", "new_ids", "pending", "unmapped")
-    empty = F.array().cast("ARRAY<STRUCT<ord: INT, map_type: STRING, source_id: STRING>>")
+    used = ("element", "refs", "uris", "held", "facts", "experiment_key", "new_ids", "pending", "unmapped")
+    empty = F.array().cast("ARRAY<STRUCT<ord: INT, map_type: STRING, source_id: STRING, nth: INT>>")
     kept = [c for c in joined.columns if c not in used]
     return joined.select(
         *kept,

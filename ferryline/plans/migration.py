@@ -12,6 +12,7 @@ from ferryline.functions.paths import target_path
 from ferryline.functions.xmlio import to_xml
 from ferryline.operators import catalogs, checks, configs, files, identity, metadata, sharing, users
 from ferryline.operators.items import (
+    may_be_owned,
     missing_items,
     owned_items,
     owner_violations,
@@ -19,7 +20,7 @@ from ferryline.operators.items import (
     with_owner,
     with_presence,
 )
-from ferryline.operators.rewrite import plannable, rewrite_items, rewrite_violations
+from ferryline.operators.rewrite import ITEM_KEY, plannable, rewrite_items, rewrite_violations, with_item_key
 from ferryline.sources.projects import root_violations
 
 
@@ -62,7 +63,7 @@ def missing_targets(
     return missing_items(owned, dst_items).withColumn("target_path", target_path(*columns))
 
 
-def create_plan(
+def rewritten_items(
     src_items: DataFrame,
     dst_items: DataFrame,
     project_map: DataFrame,
@@ -70,38 +71,35 @@ def create_plan(
     *,
     files_only: bool = False,
     bounded: bool = False,
-    staging: Staging | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """Items to create with their documents, and what keeps owned items from it.
+    only: DataFrame | None = None,
+) -> DataFrame:
+    """Owned items of visited projects with their rewritten documents, ``errors``, ``pending`` and ``is_missing``.
 
-    One run plans the whole tree. ``level`` is 0 for projects to 3 for scans and assessors; ``status``
-    is ``ready``, or ``waiting`` for an item that refers to others of the plan: ``pending`` lists
-    them, and its document holds their old ids until theirs are known. Items whose owner no
-    one names, documents with references to nothing and other errors are violations, whether
-    the item is missing or not. Documents of owned items of visited projects alone are moved and parsed, and
-    those of missing items without errors written. ``files_only`` leaves every level but the
-    project out. With ``staging`` the rewritten documents are written once for both results.
+    What the create plan, its violations and :func:`~ferryline.plans.closure.blocked_items` are read from. Each document is
+    parsed once. ``only`` limits the documents that are read to its items (``ITEM_KEY``), as for a later run; what they
+    refer to is looked up among all items nevertheless.
     """
     if files_only:
         src_items = src_items.where(F.col("item_type") == "project")
     src_items = with_owner(src_items)
-    facts = src_items.drop("xml", "element", "refs")
+    facts = src_items.drop("xml", "element", "refs", "uris")
     owned = with_presence(with_destination(owned_items(facts), project_map), dst_items)
-    rewritten = rewrite_items(
-        src_items,
-        project_map,
-        id_map,
-        chosen=owned,
-        planned=plannable(owned.where("is_missing")),
-        bounded=bounded,
-    )
-    if staging is not None:
-        rewritten = staging.write(rewritten, "rewritten")
+    planned = plannable(owned.where("is_missing"))
+    documents = may_be_owned(src_items, project_map)
+    if only is not None:
+        documents = with_item_key(documents).join(only.select(*ITEM_KEY), ITEM_KEY, "left_semi").drop("experiment_key")
+    return rewrite_items(documents, project_map, id_map, chosen=owned, planned=planned, bounded=bounded)
+
+
+def plan_rows(rewritten: DataFrame) -> DataFrame:
+    """The items of :func:`rewritten_items` that can be created, with where, in what order and as what."""
     ready = rewritten.where(F.col("is_missing") & (F.size("errors") == 0))
     kind = F.col("item_type")
     level = F.when(kind == "project", 0).when(kind == "subject", 1).when(kind == "experiment", 2)
     place = [F.col(c) for c in ("item_type", "dst_project", "subject_label", "experiment_label")]
-    plan = ready.select(
+    return ready.select(
+        "project",
+        "experiment_id",
         "dst_project",
         "item_type",
         F.col("id").alias("source_id"),
@@ -112,8 +110,39 @@ def create_plan(
         "pending",
         to_xml("element").alias("payload_xml"),
     )
-    unknown = owner_violations(facts, project_map)
-    return plan, rewrite_violations(rewritten).unionByName(unknown)
+
+
+def create_plan(
+    src_items: DataFrame,
+    dst_items: DataFrame,
+    project_map: DataFrame,
+    id_map: DataFrame,
+    *,
+    files_only: bool = False,
+    bounded: bool = False,
+    staging: Staging | None = None,
+    only: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Items to create with their documents, and what keeps owned items from it.
+
+    One run plans the whole tree. ``level`` is 0 for projects to 3 for scans and assessors; ``status``
+    is ``ready``, or ``waiting`` for an item that refers to others of the plan: ``pending`` lists
+    them, and its document holds their old ids until theirs are known, see
+    :func:`~ferryline.plans.completion.complete_plan`. Items whose owner no
+    one names, documents with references to nothing and other errors are violations, whether
+    the item is missing or not. Documents of owned items of visited projects alone are moved and parsed (and those of
+    scans in sessions that are shown there), and those of missing items without errors written. ``files_only`` leaves
+    every level but the project out. With ``staging`` the rewritten documents are written once for both results.
+    """
+    rewritten = rewritten_items(
+        src_items, dst_items, project_map, id_map, files_only=files_only, bounded=bounded, only=only
+    )
+    if staging is not None:
+        rewritten = staging.write(rewritten, "rewritten")
+    if files_only:
+        src_items = src_items.where(F.col("item_type") == "project")
+    unknown = owner_violations(with_owner(src_items), project_map)
+    return plan_rows(rewritten), rewrite_violations(rewritten).unionByName(unknown)
 
 
 @dataclass
@@ -154,7 +183,7 @@ def migration_plan(
     if files_only:
         items = items.where(F.col("item_type") == "project")
     items = with_owner(items)
-    facts = items.drop("xml", "element", "refs")
+    facts = items.drop("xml", "element", "refs", "uris")
 
     owned = with_destination(owned_items(facts), pairs)
     resolved = identity.resolve_ids(owned, after)

@@ -97,16 +97,38 @@ def test_documents_are_parsed_once_and_references_read_alone(spark, tmp_path):
     assert "element" not in plan_of(item_references(back))
 
 
+@pytest.mark.parametrize("staged", [False, True])
+def test_one_parse_in_executed_plans(spark, archive, id_map, tmp_path, staged):
+    """Documents go through the parser once, however many parts of the plan want something of them."""
+    docs = archive["src_items"].repartition("item_type", "experiment_id", "id")
+    tables = docs, archive["dst_before"], archive["pm"], id_map
+    if staged:
+        with migration.Staging(spark, f"file://{tmp_path}") as staging:
+            rewritten = migration.rewritten_items(*tables)
+            assert not staging.write(rewritten, "rewritten").isEmpty()
+            results = [rewritten]
+            results[0].collect()
+    else:
+        results = list(migration.create_plan(*tables))
+        for rows in results:
+            assert rows.collect()
+    for rows in results:
+        final = plan_of(rows).split("== Initial Plan ==")[0]
+        assert len(re.findall(r"ArrowEvalPython \[_parse_batches", final)) == 1
+        assert "ReusedExchange" in final
+
+
 def test_library_runs_no_hidden_jobs():
     """No plan runs a job while it is made, nor pulls rows to the driver.
 
     Strict mode shows one row; positions of a list that has none take a quantile job, as their
-    docstring says; sinks and asked-for staging write. Models of the training-data operators are fitted
+    docstring says; sinks, what publishes them and asked-for staging write. Models of the training-data operators are fitted
     by jobs of their own.
     """
     forbidden = {"collect", "toPandas", "toLocalIterator", "localCheckpoint", "rdd", "crossJoin"}
     forbidden |= {"approxQuantile", "write"}
     allowed = {"users.py": {"approxQuantile"}, "sinks.py": {"write"}, "migration.py": {"write"}}
+    allowed["publish.py"] = {"write"}
     for path in (ROOT / "ferryline").rglob("*.py"):
         if "llm" in path.parts:
             continue
