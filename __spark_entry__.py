@@ -22,15 +22,20 @@ from ferryline.operators import (  # noqa: E402
     catalogs,
     checks,
     configs,
+    conflicts,
+    delta,
     files,
+    folders,
     identity,
     items,
+    locations,
     metadata,
     rewrite,
     sharing,
     users,
 )
-from ferryline.plans import migration  # noqa: E402
+from ferryline.plans import closure, completion, migration, publish, sinks  # noqa: E402
+from ferryline.session import checkpointed, shared_folder  # noqa: E402
 from ferryline.sources import listings, projects  # noqa: E402
 from standin import Archive, sql  # noqa: E402
 
@@ -529,9 +534,8 @@ _HEAD = "xmlns:xnat=\"http://nrg.wustl.edu/xnat\""
 _EXPECTED = "SELECT * FROM {expected}"
 
 
-@_query(
-    "q_xml_roundtrip",
-    f"""SELECT dst_project, e.item_type, e.id AS source_id, e.label,
+# Rows of the plan with their documents as text, but for the choice of items.
+_PAYLOADS = f"""SELECT dst_project, e.item_type, e.id AS source_id, e.label,
             CASE e.item_type
             WHEN 'project' THEN '<xnat:Project {_HEAD} ID="' || dst_project || '" secondary_ID="'
                 || dst_secondary_id || '" project="' || dst_project || '"><xnat:name>' || dst_name
@@ -569,7 +573,12 @@ _EXPECTED = "SELECT * FROM {expected}"
                                WHEN mr + ct + xx = 1 AND ct = 1 THEN 'CTScan'
                                ELSE 'OtherDicomScan' END AS tag FROM {{scan}}) s
             ON e.item_type = 'scan' AND s.project = e.project
-               AND s.experiment_id = e.experiment_id AND s.id = e.id
+               AND s.experiment_id = e.experiment_id AND s.id = e.id"""
+
+
+@_query(
+    "q_xml_roundtrip",
+    f"""{_PAYLOADS}
         WHERE e.k % 3 <> 0 AND CASE e.item_type
             WHEN 'experiment' THEN (new_subject IS NOT NULL OR due_subject) AND e.k % 19 <> 0
             WHEN 'scan' THEN new_experiment IS NOT NULL OR due_experiment
@@ -579,7 +588,7 @@ _EXPECTED = "SELECT * FROM {expected}"
 )
 def _(a: Archive) -> DataFrame:
     plan, _ = migration.create_plan(_documents(a), a["dst_before"], a["pm"], _id_map(a))
-    return plan.drop("target_path", "pending")
+    return plan.drop("target_path", "pending", "project", "experiment_id")
 
 
 @_query(
@@ -904,6 +913,368 @@ def _(a: Archive) -> DataFrame:
     return catalogs.catalog_reconcile(a["listed"], a["files_src"])
 
 
+# ---------------------------------------------------------------- what waits in vain, and what has come
+
+
+def _broken(a: Archive) -> DataFrame:
+    """The items, of each type some with a document that no one can read."""
+    bad = F.expr("""CASE item_type WHEN 'project' THEN k % 9 = 4 WHEN 'subject' THEN k % 23 = 0
+                    WHEN 'experiment' THEN k % 31 = 0 WHEN 'scan' THEN k % 29 = 0 ELSE k % 37 = 0 END""")
+    return _documents(a).withColumn("xml", F.when(bad, "<broken").otherwise(F.col("xml")))
+
+
+def _empty_destination(a: Archive, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    return rows, a["dst_before"].limit(0), a["pm"], _id_map(a).limit(0)
+
+
+@_query(
+    "q_blocked",
+    """SELECT * FROM (WITH RECURSIVE o AS (
+           SELECT project, item_type, COALESCE(experiment_id, '') AS experiment_key, id, subject_id, experiment_id,
+                  CASE WHEN item_type IN ('project', 'scan') THEN project ELSE '' END AS within,
+                  CASE item_type WHEN 'scan' THEN experiment_id ELSE '' END AS inside,
+                  CASE item_type WHEN 'assessor' THEN 'experiment' ELSE item_type END AS map_type,
+                  CASE WHEN CASE item_type WHEN 'project' THEN k % 9 = 4 WHEN 'subject' THEN k % 23 = 0
+                            WHEN 'experiment' THEN k % 31 = 0 WHEN 'scan' THEN k % 29 = 0 ELSE k % 37 = 0 END
+                       THEN 'malformed_document'
+                       WHEN item_type = 'assessor' AND project NOT IN
+                            (SELECT project FROM {owned} WHERE item_type = 'scan' AND id = '1') THEN 'unmapped_reference'
+                       WHEN item_type = 'experiment' AND k % 19 = 0 THEN 'uri_outside_source' END AS failed
+           FROM {owned}),
+       needs AS (
+           SELECT project, item_type, experiment_key, id, within, inside, map_type,
+                  project AS n_within, '' AS n_inside, 'project' AS n_type, project AS n_id
+           FROM o WHERE failed IS NULL AND item_type IN ('subject', 'experiment')
+           UNION ALL SELECT project, item_type, experiment_key, id, within, inside, map_type, '', '', 'subject', subject_id
+           FROM o WHERE failed IS NULL AND item_type = 'experiment'
+           UNION ALL SELECT project, item_type, experiment_key, id, within, inside, map_type, '', '', 'experiment', experiment_id
+           FROM o WHERE failed IS NULL AND item_type IN ('scan', 'assessor')
+           UNION ALL SELECT project, item_type, experiment_key, id, within, inside, map_type, project, experiment_id, 'scan', '1'
+           FROM o WHERE failed IS NULL AND item_type = 'assessor'),
+       r AS (
+           SELECT project, item_type, experiment_key, id, within, inside, map_type, 0 AS distance,
+                  item_type AS cause_type, id AS cause_id, failed AS cause FROM o WHERE failed IS NOT NULL
+           UNION
+           SELECT n.project, n.item_type, n.experiment_key, n.id, n.within, n.inside, n.map_type, r.distance + 1,
+                  r.cause_type, r.cause_id, r.cause
+           FROM needs n JOIN r ON r.within = n_within AND r.inside = n_inside AND r.map_type = n_type AND r.id = n_id)
+       SELECT project, item_type, experiment_key, id, cause_type, cause_id, cause, distance FROM (
+           SELECT *, ROW_NUMBER() OVER (PARTITION BY project, item_type, experiment_key, id
+                                        ORDER BY distance, cause_type, cause_id, cause) AS rn FROM r)
+       WHERE rn = 1 AND distance > 0)""",
+)
+def _(a: Archive) -> DataFrame:
+    return closure.blocked_items(migration.rewritten_items(*_empty_destination(a, _broken(a))))
+
+
+@_query(
+    "q_completed_plan",
+    f"""{_PAYLOADS}
+        WHERE CASE e.item_type
+            WHEN 'experiment' THEN e.k % 19 <> 0
+                AND e.subject_id IN (SELECT id FROM {{owned}} WHERE item_type = 'subject')
+            WHEN 'scan' THEN e.experiment_id IN (SELECT id FROM {{owned}} WHERE item_type IN ('experiment', 'assessor'))
+            WHEN 'assessor' THEN
+                e.experiment_id IN (SELECT id FROM {{owned}} WHERE item_type IN ('experiment', 'assessor'))
+                AND e.project IN (SELECT project FROM {{owned}} WHERE item_type = 'scan' AND id = '1')
+            ELSE TRUE END""",
+)
+def _(a: Archive) -> DataFrame:
+    """Planned for an empty destination, then completed with the ids it has afterwards."""
+    plan, _ = migration.create_plan(*_empty_destination(a, _documents(a)))
+    done = completion.complete_plan(plan, _id_map(a))
+    return done.drop("target_path", "pending", "project", "experiment_id")
+
+
+_CHANGED = "(e.k % 4 = 0 OR e.k % 10 = 3)"
+
+
+@_query("q_delta_plan", f"{_ORACLES['q_xml_roundtrip']} AND {_CHANGED}")
+def _(a: Archive) -> DataFrame:
+    """A fourth of the items had another document or date when the snapshot was taken, others were not there."""
+    rows, kind = _documents(a), F.col("item_type")
+    dates = a["meta"].select("project", "resource", "ID", "last_modified")
+    dated = kind.isin("subject", "experiment")
+    older = rows.where("k % 10 <> 3").withColumn(
+        "xml", F.when((F.col("k") % 4 == 0) & ~dated, F.concat("xml", F.lit(" "))).otherwise(F.col("xml"))
+    )
+    old_dates = dates.withColumn(
+        "last_modified",
+        F.when(F.expr("CAST(last_modified AS BIGINT) % 4 = 0"), "earlier").otherwise(F.col("last_modified")),
+    )
+    changed = delta.changed_items(delta.item_snapshot(rows, dates), delta.item_snapshot(older, old_dates))
+    plan, _ = migration.create_plan(rows, a["dst_before"], a["pm"], _id_map(a), only=changed)
+    return plan.drop("target_path", "pending", "project", "experiment_id")
+
+
+@_query(
+    "q_delta_items",
+    """SELECT project, item_type, COALESCE(experiment_id, '') AS experiment_key, id, 'gone' AS change
+       FROM {src_items} WHERE k % 10 = 3
+       UNION ALL
+       SELECT project, item_type, COALESCE(experiment_id, ''), id, 'changed'
+       FROM {src_items} WHERE k % 10 <> 3 AND k % 4 = 0""",
+)
+def _(a: Archive) -> DataFrame:
+    """The other way round: what was there before and is not, and what has another label now."""
+    rows = a["src_items"]
+    now = rows.where("k % 10 <> 3").withColumn(
+        "label", F.when(F.col("k") % 4 == 0, "renamed").otherwise(F.col("label"))
+    )
+    before, after = delta.item_snapshot(rows), delta.item_snapshot(now)
+    gone = delta.gone_items(after, before).withColumn("change", F.lit("gone"))
+    return gone.unionByName(delta.changed_items(after, before))
+
+
+def _merged(a: Archive) -> tuple[DataFrame, DataFrame]:
+    """Owned items whose projects go three to one, with labels that recur, and a destination with such labels too."""
+    label = "CASE item_type WHEN 'subject' THEN 'L' || CAST(k % 40 AS STRING) ELSE 'E' || CAST(k % 3 AS STRING) END"
+    rows = a["src_items"].drop("xml").withColumn("label", F.expr(label))
+    pairs = a["pm"].withColumn("dst_project", F.expr("'D_' || CAST(seq % 7 AS STRING)"))
+    held = a["dst_all"].withColumn("label", F.expr(label)).drop("k")
+    return items.with_destination(items.owned_items(rows), pairs), held
+
+
+_LABEL = "CASE item_type WHEN 'subject' THEN 'L' || CAST(k % 40 AS VARCHAR) ELSE 'E' || CAST(k % 3 AS VARCHAR) END"
+_PLACE = """item_type,
+            CASE WHEN item_type IN ('experiment', 'scan', 'assessor') THEN subject_label ELSE '' END AS place_subject,
+            CASE WHEN item_type IN ('scan', 'assessor') THEN experiment_label ELSE '' END AS place_experiment,
+            CASE item_type WHEN 'project' THEN '' WHEN 'scan' THEN id ELSE label END AS place_name"""
+_CLAIMS = f"""
+    SELECT 'source' AS side, 'D_' || CAST(seq % 7 AS VARCHAR) AS dst_project, {_PLACE.replace('ELSE label', f'ELSE {_LABEL}')},
+           project, item_type AS kind, COALESCE(experiment_id, '') AS experiment_key, id FROM {{owned}}
+    UNION ALL
+    SELECT 'destination', project, {_PLACE.replace('ELSE label', f'ELSE {_LABEL}')}, project, item_type, '', id
+    FROM {{dst_all}}"""
+_CROWDED = f"""
+    SELECT side, dst_project, item_type, place_subject, place_experiment, place_name, COUNT(*) AS n,
+           MIN([project, experiment_key, id]) AS least, MAX([project, experiment_key, id]) AS greatest
+    FROM ({_CLAIMS}) c GROUP BY ALL HAVING least <> greatest"""
+
+
+@_query(
+    "q_place_conflicts",
+    f"""SELECT side, dst_project, item_type, place_subject, place_experiment, place_name, n,
+               ARRAY_TO_STRING(least, '|') AS least, ARRAY_TO_STRING(greatest, '|') AS greatest FROM ({_CROWDED})""".replace(
+        "GROUP BY ALL", "GROUP BY side, dst_project, item_type, place_subject, place_experiment, place_name"
+    ),
+)
+def _(a: Archive) -> DataFrame:
+    told = conflicts.place_conflicts(*_merged(a))
+    parts = {c: F.concat_ws("|", f"{c}.project", f"{c}.experiment_key", f"{c}.id") for c in ("least", "greatest")}
+    return told.withColumns(parts)
+
+
+@_query(
+    "q_conflict_violations",
+    f"""SELECT * FROM (WITH crowded AS ({_CROWDED}), claims AS ({_CLAIMS})
+        SELECT CASE c.side WHEN 'source' THEN 'place_claimed_twice' ELSE 'place_held_twice' END AS "check", o.project,
+               o.item_type, o.id AS item_id,
+               CONCAT_WS('/', o.dst_project, NULLIF(o.place_subject, ''), NULLIF(o.place_experiment, ''),
+                         NULLIF(o.place_name, '')) AS detail
+        FROM claims o JOIN crowded c ON c.dst_project = o.dst_project AND c.item_type = o.item_type
+             AND c.place_subject = o.place_subject AND c.place_experiment = o.place_experiment
+             AND c.place_name = o.place_name
+        WHERE o.side = 'source')""".replace(
+        "GROUP BY ALL", "GROUP BY side, dst_project, item_type, place_subject, place_experiment, place_name"
+    ),
+)
+def _(a: Archive) -> DataFrame:
+    return conflicts.conflict_violations(*_merged(a))
+
+
+_LOCATIONS = """
+    SELECT doc_id, source AS project, CASE doc_id % 7
+           WHEN 0 THEN '/archive/' || source || '/a/f' WHEN 1 THEN '/archive/src2/sub/src3/b'
+           WHEN 2 THEN '/archive/src' || CAST(doc_id % 20 AS {text}) || '/c' WHEN 3 THEN '/archive/src1'
+           WHEN 4 THEN '/archive/src1x/f' WHEN 5 THEN CAST(NULL AS {text}) ELSE '/archive/src2/sub/src33/b' END AS uri
+    FROM {{documents}}"""
+# Some archives lie below another project's root.
+_NESTED = """
+    SELECT seq, src_project, CASE WHEN seq % 4 = 3 THEN '/archive/src' || CAST(seq - 1 AS {text}) || '/sub'
+                                  ELSE '/archive' END AS src_archive FROM {{fpm}}"""
+
+
+@_query(
+    "q_uri_owner",
+    f"""SELECT doc_id, project, uri, owner, CASE WHEN uri IS NULL THEN NULL WHEN owner IS NULL THEN 'uri_outside_source'
+               WHEN owner = project THEN 'own' ELSE 'other_project' END AS relation FROM (
+            SELECT l.*, src_project AS owner, ROW_NUMBER() OVER (PARTITION BY doc_id
+                   ORDER BY LENGTH(src_archive || '/' || src_project) DESC NULLS LAST) AS rn
+            FROM ({_LOCATIONS.format(text='VARCHAR')}) l LEFT JOIN ({_NESTED.format(text='VARCHAR')}) p
+                 ON STARTS_WITH(uri || '/', src_archive || '/' || src_project || '/'))
+        WHERE rn = 1""",
+)
+def _(a: Archive) -> DataFrame:
+    pairs = a.sql(_NESTED.format(text="STRING"))
+    return locations.with_uri_owner(a.sql(_LOCATIONS.format(text="STRING")), pairs)
+
+
+@_query(
+    "q_reconcile_by_folder",
+    f"SELECT * FROM ({_ORACLES['q_catalog_reconcile']}) WHERE action <> 'keep'",
+)
+def _(a: Archive) -> DataFrame:
+    return folders.reconcile_by_folder(a["listed"], a["files_src"])
+
+
+@_query(
+    "q_tree_files",
+    """SELECT project, folder, COUNT(*) AS files FROM (
+           SELECT project, UNNEST(LIST_DISTINCT(LIST_VALUE('', REGEXP_EXTRACT(rel_path, '^([^/]*)/', 1),
+                  REGEXP_EXTRACT(rel_path, '^(.*)/[^/]*$', 1)))) AS folder FROM {files_src})
+       GROUP BY project, folder""",
+)
+def _(a: Archive) -> DataFrame:
+    """Files below each folder, summed up from the folders' own digests."""
+    found = folders.tree_digests(folders.folder_digests(a["files_src"]))
+    return found.select("project", "folder", F.col("files").cast("long").alias("files"))
+
+
+# ---------------------------------------------------------------- reading and writing
+
+
+def _staging(a: Archive) -> migration.Staging:
+    return migration.Staging(a.spark, shared_folder(a.spark))
+
+
+def _levels(a: Archive) -> dict[str, DataFrame]:
+    """The listings of an archive: one of each type, whose rows know the item above them by its id."""
+    above = {"project": [], "subject": [], "experiment": ["subject_id"], "scan": ["experiment_id"], "assessor": ["experiment_id"]}
+    rows = a["src_items"].drop("xml")
+    return {
+        kind: rows.where(F.col("item_type") == kind).select("k", "project", "id", "label", *ids)
+        for kind, ids in above.items()
+    }
+
+
+@_query(
+    "q_read_items",
+    """SELECT i.project, i.item_type, i.id, i.label, i.subject_id, s.label AS subject_label, i.experiment_id,
+              i.experiment_label
+       FROM {src_items} i LEFT JOIN {subj} s ON s.project = i.project AND s.id = i.subject_id""",
+)
+def _(a: Archive) -> DataFrame:
+    """A shared experiment's subject is not always listed in the project that shows it."""
+    with _staging(a) as staging:
+        paths = {kind: staging.path(kind) for kind in _levels(a)}
+        for kind, rows in _levels(a).items():
+            rows.write.parquet(paths[kind])
+        found = listings.read_items(a.spark, paths)
+        return checkpointed(found.drop("owner_project", "xsi_type", "ordinal", "xml"))
+
+
+@_query(
+    "q_listing_violations",
+    """SELECT 'parent_not_listed' AS "check", project, item_type, id AS item_id, 'experiment ' || experiment_id AS detail
+       FROM {src_items} WHERE item_type IN ('scan', 'assessor') AND experiment_id IN
+           (SELECT id FROM {expt} WHERE k % 13 = 0)
+       UNION ALL
+       SELECT 'parent_not_listed', i.project, i.item_type, i.id, 'subject ' || i.subject_id
+       FROM {src_items} i LEFT JOIN {subj} s ON s.project = i.project AND s.id = i.subject_id
+       WHERE i.item_type = 'experiment' AND i.k % 13 <> 0 AND s.id IS NULL
+       UNION ALL
+       SELECT 'parent_not_listed', project, item_type, id, 'subject none' FROM {src_items}
+       WHERE item_type = 'experiment' AND k % 13 <> 0 AND k % 17 = 0
+       UNION ALL
+       SELECT 'several_parents', project, item_type, id,
+              'subject ' || LEAST(subject_id, 'none') || ' ' || GREATEST(subject_id, 'none') FROM {src_items}
+       WHERE item_type = 'experiment' AND k % 13 <> 0 AND k % 17 = 0""",
+)
+def _(a: Archive) -> DataFrame:
+    """Some experiments are not listed, some are listed below a subject that is not there as well."""
+    levels = _levels(a)
+    kept = levels["experiment"].where("k % 13 <> 0")
+    levels["experiment"] = kept.unionByName(kept.where("k % 17 = 0").withColumn("subject_id", F.lit("none")))
+    return listings.listing_violations(levels)
+
+
+@_query(
+    "q_read_datatypes",
+    """SELECT 'source' AS server, element_name FROM {dt_src}
+       UNION ALL SELECT 'destination', element_name FROM {dt_dst}""",
+)
+def _(a: Archive) -> DataFrame:
+    """Lists of both servers as they are exported: JSON arrays of objects."""
+    found = []
+    with _staging(a) as staging:
+        for server, rows in (("source", a["dt_src"]), ("destination", a["dt_dst"])):
+            listed = rows.groupBy(F.pmod(F.xxhash64("element_name"), F.lit(8)).alias("part")).agg(
+                F.to_json(F.collect_list(F.struct(F.col("element_name").alias("elementName")))).alias("value")
+            )
+            path = staging.path(server)
+            listed.write.partitionBy("part").text(path)
+            found.append(listings.read_datatypes(a.spark, path, server))
+        return checkpointed(found[0].unionByName(found[1]))
+
+
+@_query(
+    "q_read_profiles",
+    "SELECT pos, id, username, enabled, email, verified, firstName, lastName FROM {usr_src}",
+)
+def _(a: Archive) -> DataFrame:
+    """One list in the order of the server, as it is exported."""
+    users_of = a["usr_src"]
+    with _staging(a) as staging:
+        ordered = F.array_sort(F.collect_list(F.struct("pos", *[c for c in users_of.columns if c != "pos"])))
+        path = staging.path("users")
+        users_of.agg(F.to_json(ordered).alias("value")).write.text(path)
+        return checkpointed(listings.read_profiles(a.spark, path))
+
+
+def _written(a: Archive, rows: DataFrame, write: Callable[[DataFrame, str], None], fmt: str = "parquet") -> DataFrame:
+    """What readers of the published table get, after a former run of it was replaced."""
+    with _staging(a) as staging:
+        path = staging.path("published")
+        publish.publish(rows.limit(0), write, path, fmt=fmt)
+        publish.publish(rows, write, path, fmt=fmt)
+        return checkpointed(publish.read_published(a.spark, path, check=True))
+
+
+@_query("q_written_metadata", "SELECT * FROM {meta}")
+def _(a: Archive) -> DataFrame:
+    return _written(a, metadata.metadata_columns(a["meta"]), sinks.write_metadata, "csv")
+
+
+@_query(
+    "q_written_id_map",
+    "SELECT src_project, map_type, source_id, destination_id FROM {id_map} WHERE map_type IN ('subject', 'experiment')",
+)
+def _(a: Archive) -> DataFrame:
+    return _written(a, _id_map(a), sinks.write_id_map, "csv")
+
+
+@_query("q_written_create", _ORACLES["q_xml_roundtrip"])
+def _(a: Archive) -> DataFrame:
+    plan, _ = migration.create_plan(_documents(a), a["dst_before"], a["pm"], _id_map(a))
+    back = _written(a, plan, sinks.write_create_plan)
+    return back.drop("target_path", "pending", "project", "experiment_id")
+
+
+@_query("q_written_config", _ORACLES["q_config_plan"])
+def _(a: Archive) -> DataFrame:
+    return _written(a, _QUERIES["q_config_plan"](a), sinks.write_config_plan)
+
+
+@_query("q_written_share", _ORACLES["q_share_plan"])
+def _(a: Archive) -> DataFrame:
+    return _written(a, _QUERIES["q_share_plan"](a), sinks.write_share_plan)
+
+
+@_query("q_written_users", _ORACLES["q_users_to_create"])
+def _(a: Archive) -> DataFrame:
+    return _written(a, _QUERIES["q_users_to_create"](a), sinks.write_user_plan)
+
+
+@_query("q_written_refresh", _ORACLES["q_refresh_paths"])
+def _(a: Archive) -> DataFrame:
+    back = _written(a, catalogs.refresh_paths(a["dst_after"]), sinks.write_refresh_plan)
+    return back.select(
+        "project", F.col("depth").cast("long").alias("depth"),
+        F.col("step").cast("long").alias("step"), "action", "path",
+    )
+
+
 # ---------------------------------------------------------------- metadata and the whole
 
 

@@ -42,9 +42,13 @@ class Staging:
     def __exit__(self, *_: object) -> None:
         self.remove()
 
+    def path(self, name: str) -> str:
+        """A new folder in here, for something that is written by other means."""
+        return f"{self._folder}/{name}-{uuid.uuid4().hex}"
+
     def write(self, rows: DataFrame, name: str) -> DataFrame:
         """Write rows now, and go on from what was written."""
-        path = f"{self._folder}/{name}-{uuid.uuid4().hex}"
+        path = self.path(name)
         rows.write.parquet(path)
         return self._spark.read.parquet(path)
 

@@ -47,8 +47,11 @@ def publish(
     spark = rows.sparkSession
     name = f"run-{uuid.uuid4().hex}"
     write(rows, f"{path}/{name}")
-    # What the sink keeps of the rows, in the types it keeps them.
-    kept = spark.read.format(fmt).option("header", "true").load(f"{path}/{name}").columns
+    # What the sink keeps of the rows, in the types it keeps them; no files, no columns to tell.
+    system, place = _files(spark, f"{path}/{name}")
+    kept = rows.columns
+    if system.getContentSummary(place).getLength() > 0:
+        kept = spark.read.format(fmt).option("header", "true").load(f"{path}/{name}").columns
     schema = _schema(rows.select(*[c for c in rows.columns if c in kept]), fmt)
     back = _read(spark, f"{path}/{name}", fmt, schema)
     facts = {"run": name, "format": fmt, "schema": schema, **_facts(back)}

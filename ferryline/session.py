@@ -31,17 +31,25 @@ def session(app: str = "ferryline", master: str | None = None, **extra: str) ->
     return builder.getOrCreate()
 
 
-def checkpointed(rows: DataFrame) -> DataFrame:
-    """Rows written to the folder that ``spark.checkpoint.dir`` names, for steps that go on from each other.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, which all executors must see.
 
-    All executors must see that folder. Without the setting, a session on one machine takes a folder of its own.
+    Without the setting, a session on one machine takes a folder of its own; elsewhere that is an error.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+        folder = f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toUri()
+    return f"{whole.getScheme()}://{whole.getAuthority() or ''}{whole.getPath()}"
+
+
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """Rows written to the shared folder, for steps that go on from each other."""
     spark = rows.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
-        spark.sparkContext.setCheckpointDir(folder)
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return rows.checkpoint()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ferryline.functions.xmlio import parse_items
 from ferryline.model import ITEM_METADATA, SRC_ITEM, USER_PROFILE
+from ferryline.operators.checks import all_violations, violation
 
 
 def _resultset(schema: str) -> str:
@@ -153,6 +154,49 @@ def assemble_items(levels: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def listing_violations(levels: dict[str, DataFrame]) -> DataFrame:
+    """Items whose parent no listing has, and items that are listed below several parents.
+
+    ``levels`` as for :func:`assemble_items`. Such items would have no place at the destination, or two. Where no listing of the
+    parents' type is given, no parent is looked for.
+    """
+    parents = {"subject": "project", "experiment": "subject", "scan": "experiment", "assessor": "experiment"}
+    told = []
+    for kind, above in parents.items():
+        if kind not in levels:
+            continue
+        rows = levels[kind]
+        own = "project" if above == "project" else f"{above}_id"
+        if above in levels:
+            known = levels[above].select("project", F.col("id").alias("_parent")).distinct()
+            keyed = rows.select("project", "id", F.col(own).alias("_parent"))
+            told.append(
+                violation(
+                    keyed.join(known, ["project", "_parent"], "left_anti"),
+                    "parent_not_listed",
+                    project=F.col("project"),
+                    item_type=F.lit(kind),
+                    item_id=F.col("id"),
+                    detail=F.concat_ws(" ", F.lit(above), "_parent"),
+                )
+            )
+        if kind in ("experiment", "assessor"):
+            several = rows.groupBy("project", "id").agg(F.min(own).alias("least"), F.max(own).alias("greatest"))
+            told.append(
+                violation(
+                    several.where("least <> greatest"),
+                    "several_parents",
+                    project=F.col("project"),
+                    item_type=F.lit(kind),
+                    item_id=F.col("id"),
+                    detail=F.concat_ws(" ", F.lit(above), "least", "greatest"),
+                )
+            )
+    if not told:
+        raise ValueError("no item tables given")
+    return all_violations(*told)
+
+
 def _look_up(rows: DataFrame, parents: DataFrame | None, on: list[str]) -> DataFrame:
     """Add what the parents have and the rows lack."""
     if parents is None:

@@ -302,7 +302,7 @@ class Archive:
     """The views over one folder of tables, as DataFrames made when asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self._spark, self._dir = spark, sf_dir
+        self.spark, self._dir = spark, sf_dir
         self._made: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
@@ -312,7 +312,7 @@ class Archive:
 
     def _make(self, name: str) -> DataFrame:
         if name in TABLES:
-            return self._spark.read.parquet(f"{self._dir}/{name}.parquet")
+            return self.spark.read.parquet(f"{self._dir}/{name}.parquet")
         if name == "usr_src":
             from ferryline.operators.users import with_position
 
@@ -325,4 +325,4 @@ class Archive:
 
     def sql(self, text: str) -> DataFrame:
         """Run a text over this folder."""
-        return self._spark.sql(text, **{name: self[name] for name in _names(text)})
+        return self.spark.sql(text, **{name: self[name] for name in _names(text)})

@@ -28,11 +28,15 @@ def test_flagship(spark):
 
 # The queries that read or write documents, which takes Python.
 DOCUMENTS = {
+    "q_blocked",
+    "q_completed_plan",
+    "q_delta_plan",
     "q_first_run",
     "q_plan_contents",
     "q_plan_files_only",
     "q_plan_summary",
     "q_rewrite_violations",
+    "q_written_create",
     "q_xml_roundtrip",
 }
 
