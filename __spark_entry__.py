@@ -1316,11 +1316,8 @@ def _plans(a: Archive, **options) -> DataFrame:
         ),
         **options,
     )
-    out = None
-    for name, rows in plans.items():
-        count = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("plan"), "n")
-        out = count if out is None else out.unionAll(count)
-    return out
+    counts = [f"SELECT '{name}' AS plan, COUNT(*) AS n FROM {{{name}}}" for name in plans]
+    return a.spark.sql(" UNION ALL ".join(counts), **plans)
 
 
 _COMMON_COUNTS = """

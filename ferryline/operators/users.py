@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,27 +10,19 @@ from ferryline.functions.ids import strip_ext
 from ferryline.operators.checks import violation
 
 
-def _range_of(key: Column, bounds: list[float], first: int = 0) -> Column:
-    """Number of the range a key falls in, found by halving the sorted upper bounds."""
-    if not bounds:
-        return F.lit(first)
-    middle = len(bounds) // 2
-    return F.when(key <= bounds[middle], _range_of(key, bounds[:middle], first)).otherwise(
-        _range_of(key, bounds[middle + 1 :], first + middle + 1)
-    )
-
-
 def with_position(
-    rows: DataFrame, order_by: str, *, position: str = "pos", ranges: int = 256
+    rows: DataFrame, order_by: str, *, position: str = "pos", ranges: int = 64
 ) -> DataFrame:
     """Number rows from 0 by a unique numeric column without sorting them in one task.
 
-    One small job fixes the quantiles of ``order_by``; rows are then numbered within
-    their range and shifted by the sizes of the ranges before it.
+    Approximate quantiles of ``order_by``, a subquery of the plan, part the rows into ranges; rows are then numbered within
+    their range and shifted by the sizes of the ranges before it. No job runs before the plan does.
     """
-    cuts = [i / ranges for i in range(1, ranges)]
-    bounds = sorted(set(rows.stat.approxQuantile(order_by, cuts, 0.1 / ranges)))
-    placed = rows.withColumn("_range", _range_of(F.col(order_by), bounds))
+    cuts = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    bounds = rows.agg(F.percentile_approx(order_by, cuts, F.lit(100 * ranges)).alias("bounds")).scalar()
+    bounded = rows.withColumn("_bounds", bounds)
+    before_key = F.filter("_bounds", lambda bound: bound < F.col(order_by))
+    placed = bounded.withColumn("_range", F.coalesce(F.size(before_key), F.lit(0))).drop("_bounds")
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     # One row per range, so this window and its broadcast stay under `ranges` rows.
     starts = (
