@@ -131,14 +131,15 @@ def choose_cuts(words: DataFrame, settings: Settings) -> Cuts:
     size = F.length("word")
     sizes = words.groupBy(size.alias("length")).agg(F.count(F.lit(1)).alias("words"))
     large = sizes.where(F.col("words") * F.col("length") > settings.cell)
-    letters = words.withColumn("length", size).join(large.select("length"), "length", "left_semi")
+    total = {r.length: r.words for r in large.collect()}
+    having: dict[int, Counter] = {length: Counter() for length in total}
+    if not total:
+        return {}
+    letters = words.withColumn("length", size).where(F.col("length").isin(*total))
     letters = letters.select("length", "word", F.explode(F.array_distinct(F.split("word", ""))).alias("letter"))
     times = F.length("word") - F.length(F.replace("word", F.col("letter"), F.lit("")))
     counted = letters.where("letter <> ''").select("length", "letter", F.least(times, F.lit(3)).alias("times"))
-    counted = counted.groupBy("length", "letter", "times").agg(F.count(F.lit(1)).alias("words"))
-    total = {r.length: r.words for r in large.collect()}
-    having: dict[int, Counter] = {length: Counter() for length in total}
-    for row in counted.collect():
+    for row in counted.groupBy("length", "letter", "times").agg(F.count(F.lit(1)).alias("words")).collect():
         for most in range(row.times):
             having[row.length][ord(row.letter), most] += row.words
     cuts = {}
