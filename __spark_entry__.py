@@ -36,7 +36,7 @@ from ferryline.operators import (  # noqa: E402
 )
 from ferryline.plans import closure, completion, migration, publish, sinks  # noqa: E402
 from ferryline.session import checkpointed, shared_folder  # noqa: E402
-from ferryline.sources import listings, projects  # noqa: E402
+from ferryline.sources import listings, manifest, projects  # noqa: E402
 from standin import Archive, sql  # noqa: E402
 
 # The training-data operators and their pipeline; the archive queries do without them.
@@ -1189,6 +1189,23 @@ def _(a: Archive) -> DataFrame:
     return listings.listing_violations(levels)
 
 
+@_query(
+    "q_walked_files",
+    """SELECT source AS project, 'lang=' || lang AS folder, CAST(SUM(STRLEN(text) + 1) AS BIGINT) AS length
+       FROM {documents} WHERE lang NOT LIKE 'd%' GROUP BY source, lang""",
+)
+def _(a: Archive) -> DataFrame:
+    """Project folders as they lie on a disk: a file for each language, of which some are not to be entered."""
+    with _staging(a) as staging:
+        path = staging.path("projects")
+        texts = a["documents"].select("source", "lang", "text").repartition("source", "lang")
+        texts.write.partitionBy("source", "lang").text(path)
+        root = F.concat(F.lit(path.removeprefix("file://") + "/source="), "source")
+        roots = a["documents"].select(F.col("source").alias("project"), root.alias("root")).distinct()
+        found = manifest.walk_folders(roots, exclude=(".*", "lang=d*")).files
+        return checkpointed(found.select("project", folders.folder_of(F.col("rel_path")).alias("folder"), "length"))
+
+
 @_query(
     "q_read_datatypes",
     """SELECT 'source' AS server, element_name FROM {dt_src}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ferryline.functions.paths import target_path
 from ferryline.functions.xmlio import to_xml
-from ferryline.operators import catalogs, checks, configs, files, identity, metadata, sharing, users
+from ferryline.operators import catalogs, checks, configs, conflicts, files, identity, metadata, sharing, users
 from ferryline.operators.items import (
     may_be_owned,
     missing_items,
@@ -208,6 +208,7 @@ def migration_plan(
             checks.experiment_violations(unsupported),
             users.user_violations(aligned),
             rewrite_errors,
+            conflicts.conflict_violations(owned, inputs.dst_items),
             sharing.share_violations(facts, pairs, id_map),
         ),
         "users": users.users_to_create(inputs.src_users, inputs.dst_users),
