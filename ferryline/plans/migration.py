@@ -67,6 +67,19 @@ def missing_targets(
     return missing_items(owned, dst_items).withColumn("target_path", target_path(*columns))
 
 
+_DOCUMENT = ("xml", "element", "refs", "uris")
+
+
+def item_facts(src_items: DataFrame) -> DataFrame:
+    """Items without their documents, whose owner is read from the document where the listing names none."""
+    return with_owner(src_items).drop(*_DOCUMENT)
+
+
+def _owned(facts: DataFrame, project_map: DataFrame, files_only: bool) -> DataFrame:
+    """Owned items of visited projects; projects, if they are all there is, own themselves."""
+    return with_destination(facts if files_only else owned_items(facts), project_map)
+
+
 def rewritten_items(
     src_items: DataFrame,
     dst_items: DataFrame,
@@ -76,18 +89,19 @@ def rewritten_items(
     files_only: bool = False,
     bounded: bool = False,
     only: DataFrame | None = None,
+    facts: DataFrame | None = None,
 ) -> DataFrame:
     """Owned items of visited projects with their rewritten documents, ``errors``, ``pending`` and ``is_missing``.
 
     What the create plan, its violations and :func:`~ferryline.plans.closure.blocked_items` are read from. Each document is
     parsed once. ``only`` limits the documents that are read to its items (``ITEM_KEY``), as for a later run; what they
-    refer to is looked up among all items nevertheless.
+    refer to is looked up among all items nevertheless. ``facts`` are those of :func:`item_facts`, if they are at hand.
     """
     if files_only:
         src_items = src_items.where(F.col("item_type") == "project")
     src_items = with_owner(src_items)
-    facts = src_items.drop("xml", "element", "refs", "uris")
-    owned = with_presence(with_destination(owned_items(facts), project_map), dst_items)
+    facts = src_items.drop(*_DOCUMENT) if facts is None else facts
+    owned = with_presence(_owned(facts, project_map, files_only), dst_items)
     planned = plannable(owned.where("is_missing"))
     documents = may_be_owned(src_items, project_map)
     if only is not None:
@@ -136,16 +150,20 @@ def create_plan(
     one names, documents with references to nothing and other errors are violations, whether
     the item is missing or not. Documents of owned items of visited projects alone are moved and parsed (and those of
     scans in sessions that are shown there), and those of missing items without errors written. ``files_only`` leaves
-    every level but the project out. With ``staging`` the rewritten documents are written once for both results.
+    every level but the project out. With ``staging`` what is known of items without their documents, which many parts of the
+    plan start from, and the rewritten documents are written once.
     """
+    if files_only:
+        src_items = src_items.where(F.col("item_type") == "project")
+    facts = item_facts(src_items)
+    if staging is not None:
+        facts = staging.write(facts, "facts")
     rewritten = rewritten_items(
-        src_items, dst_items, project_map, id_map, files_only=files_only, bounded=bounded, only=only
+        src_items, dst_items, project_map, id_map, files_only=files_only, bounded=bounded, only=only, facts=facts
     )
     if staging is not None:
         rewritten = staging.write(rewritten, "rewritten")
-    if files_only:
-        src_items = src_items.where(F.col("item_type") == "project")
-    unknown = owner_violations(with_owner(src_items), project_map)
+    unknown = owner_violations(facts, project_map)
     return plan_rows(rewritten), rewrite_violations(rewritten).unionByName(unknown)
 
 
@@ -186,15 +204,19 @@ def migration_plan(
     after = inputs.dst_items if inputs.dst_after is None else inputs.dst_after
     if files_only:
         items = items.where(F.col("item_type") == "project")
-    items = with_owner(items)
-    facts = items.drop("xml", "element", "refs", "uris")
+    facts = item_facts(items)
+    if staging is not None:
+        facts = staging.write(facts, "facts")
 
-    owned = with_destination(owned_items(facts), pairs)
+    owned = _owned(facts, pairs, files_only)
     resolved = identity.resolve_ids(owned, after)
     id_map = identity.dedupe_id_map(resolved)
     if staging is not None:
         id_map = staging.write(id_map, "id_map")
-    create, rewrite_errors = create_plan(items, inputs.dst_items, pairs, id_map, staging=staging)
+    rewritten = rewritten_items(items, inputs.dst_items, pairs, id_map, files_only=files_only, facts=facts)
+    if staging is not None:
+        rewritten = staging.write(rewritten, "rewritten")
+    shares = sharing.share_rows(facts, pairs, id_map)
 
     missing = checks.missing_datatypes(inputs.src_datatypes, inputs.dst_datatypes)
     experiments = with_destination(facts.where(F.col("item_type") == "experiment"), pairs)
@@ -207,15 +229,16 @@ def migration_plan(
             checks.datatype_violations(missing),
             checks.experiment_violations(unsupported),
             users.user_violations(aligned),
-            rewrite_errors,
+            rewrite_violations(rewritten),
+            owner_violations(facts, pairs),
             conflicts.conflict_violations(owned, inputs.dst_items),
-            sharing.share_violations(facts, pairs, id_map),
+            sharing.unplanned_shares(shares),
         ),
         "users": users.users_to_create(inputs.src_users, inputs.dst_users),
         "metadata": metadata.metadata_columns(with_destination(inputs.metadata, pairs)),
         "files": files.files_to_copy(inputs.src_files, inputs.dst_files, pairs),
         "transfer": files.transfer_stats(inputs.src_files, inputs.dst_files, pairs),
-        "create": create,
+        "create": plan_rows(rewritten),
         "failures": identity.running_failures(failures),
         "totals": identity.subject_totals(facts, pairs),
         "config": configs.config_plan(inputs.settings, pairs),
@@ -225,5 +248,5 @@ def migration_plan(
                 pairs.select(F.col("dst_project").alias("project")), "project", "left_semi"
             )
         ),
-        "share": sharing.share_plan(facts, pairs, id_map),
+        "share": sharing.planned_shares(shares),
     }
