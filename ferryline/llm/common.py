@@ -121,14 +121,17 @@ class Scratch:
 
 
 def _own_folder(spark: SparkSession) -> str:
-    """For a session without a shared folder, as in tests on one machine."""
+    """For a session on one machine without a shared folder, as in tests."""
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
     folder = tempfile.mkdtemp(prefix="checkpoints-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
 def settled(rows: DataFrame) -> DataFrame:
-    """Rows as a checkpoint, which Spark itself removes once nothing refers to it."""
+    """Rows as a checkpoint. Spark removes it once nothing refers to it, if the session has
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``, as those of :mod:`ferryline.session` do."""
     spark = rows.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(

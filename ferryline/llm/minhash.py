@@ -141,7 +141,7 @@ def sketches(documents: DataFrame, settings: Settings) -> DataFrame:
                     nodes.append(None)
                     made.append(None)
                     continue
-                nodes.append(xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63))
+                nodes.append(node_of(shingles))
                 made.append(sketch(shingles, settings.size).astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(counts, pa.int64()), pa.array(nodes, pa.int64()), pa.array(made, pa.binary())],
@@ -159,30 +159,37 @@ def buckets(sketched: DataFrame, settings: Settings) -> DataFrame:
         F.sequence(F.lit(0), F.lit(settings.bands - 1)),
         lambda band: F.xxhash64(band, F.substring("sketch", band * width + 1, F.lit(width))),
     )
-    return sketched.select(F.col("doc_id").alias("id"), F.posexplode(keys).alias("band", "bucket"))
+    return sketched.select("id", F.posexplode(keys).alias("band", "bucket"))
 
 
-def confirmed(pairs: DataFrame, documents: DataFrame, settings: Settings, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs ``a, b`` whose full sets are similar enough.
+def node_of(shingles: np.ndarray) -> int:
+    """What a set goes by: sets with the same number are one."""
+    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
-    Sets are made anew from the texts, of documents that are in a pair only, and joined
+
+def confirmed(
+    pairs: DataFrame, documents: DataFrame, firsts: DataFrame, settings: Settings, scratch: Scratch, name: str
+) -> DataFrame:
+    """The pairs ``a, b`` of sets that are similar enough, held against each other in full.
+
+    Sets are made anew from the texts, of the ``first`` document of each set that is in a pair, and joined
     to both sides; no side of a pair is gathered by document.
     """
     pairs = scratch.keep(pairs, f"{name}-pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    wanted = scratch.keep(wanted, f"{name}-wanted")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = scratch.keep(wanted.join(firsts, "node"), f"{name}-wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in in_parts(whole, "text")):
-            ids, texts = batch.columns
-            made = [s.tobytes() for s in shingle_sets(texts, settings.width)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(made, pa.binary())], names=["id", "shingles"])
+            made = [s for s in shingle_sets(batch.column(1), settings.width) if len(s)]
+            nodes = pa.array([node_of(s) for s in made], pa.int64())
+            yield pa.RecordBatch.from_arrays([nodes, pa.array([s.tobytes() for s in made], pa.binary())], names=["id", "shingles"])
 
     narrow = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    found = narrow.join(wanted, "doc_id", "left_semi")
-    found = found.mapInArrow(sets, "id long, shingles binary").groupBy("id").agg(
-        F.max("shingles").alias("shingles")
-    )
+    chosen = wanted.select(F.col("first").alias("doc_id")).distinct()
+    found = narrow.join(chosen, "doc_id", "left_semi").mapInArrow(sets, "id long, shingles binary")
+    # An id may have further texts, of sets that no one asked for here.
+    found = found.groupBy("id").agg(F.max("shingles").alias("shingles"))
     found = scratch.keep(found, f"{name}-sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +252,7 @@ def _near_in_cells(cells: DataFrame, settings: Settings) -> DataFrame:
 def near_duplicates(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``documents``.
 
-    Documents with the same set are one node, the one of the least id. In each bucket of a
+    Documents with the same set are one node, and a node goes by its set's 64-bit hash through all steps. In each bucket of a
     band all members are first held against the one that shares most buckets with others, and
     what is confirmed is joined to components. Only buckets that still hold several
     components are looked into pair by pair, in cells of a bounded size, by their sketches; pairs whose
@@ -264,7 +271,7 @@ def near_duplicates(documents: DataFrame, settings: Settings = Settings()) -> Da
         nodes = known.select("node", "doc_id", "sketch").join(
             firsts.select("node", F.col("first").alias("doc_id")), ["node", "doc_id"], "left_semi"
         )
-        nodes = scratch.keep(nodes.select("doc_id", "sketch"), "nodes")
+        nodes = scratch.keep(nodes.select(F.col("node").alias("id"), "sketch"), "nodes")
         places = scratch.keep(sketched.select("doc_id", "n_shingles", "node"), "places")
         scratch.drop("sketched")
 
@@ -274,17 +281,13 @@ def near_duplicates(documents: DataFrame, settings: Settings = Settings()) -> Da
 
         degrees = shared.groupBy("id").agg(F.sum("size").alias("degree"))
         ranked = shared.join(degrees, "id")
-        middles = ranked.groupBy("bucket").agg(
-            F.max(F.struct("degree", (-F.col("id")).alias("id"))).alias("middle")
-        )
-        stars = shared.join(middles, "bucket").select(
-            F.col("id").alias("a"), (-F.col("middle.id")).alias("b")
-        )
+        middles = ranked.groupBy("bucket").agg(F.max(F.struct("degree", "id")).alias("middle"))
+        stars = shared.join(middles, "bucket").select(F.col("id").alias("a"), F.col("middle.id").alias("b"))
         stars = stars.where("a <> b").select(
             F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
         )
         stars = scratch.keep(stars.distinct(), "stars")
-        links = confirmed(stars, documents, settings, scratch, "first")
+        links = confirmed(stars, documents, firsts, settings, scratch, "first")
         joined = scratch.keep(components(links, scratch, "first-round"), "joined")
 
         labelled = shared.drop("size").join(joined, "id", "left").withColumn(
@@ -299,23 +302,28 @@ def near_duplicates(documents: DataFrame, settings: Settings = Settings()) -> Da
         several = scratch.keep(several.where("low < high").select("bucket", "size"), "several")
         total = several.agg(F.sum("size")).first()[0] or 0
         open_entries = labelled.join(several.select("bucket"), "bucket", "left_semi")
-        with_sketch = open_entries.join(nodes.select(F.col("doc_id").alias("id"), "sketch"), "id")
-        near = _near_in_cells(in_cells(with_sketch, several, total), settings)
+        near = _near_in_cells(in_cells(open_entries.join(nodes, "id"), several, total), settings)
         near = near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         near = near.distinct().join(stars, ["a", "b"], "left_anti")
-        more = confirmed(near, documents, settings, scratch, "second")
-        found = components(links.unionByName(more), scratch, "second-round")
+        more = confirmed(near, documents, firsts, settings, scratch, "second")
 
-        firsts = firsts.join(found.withColumnRenamed("id", "first"), "first", "left").select(
-            "node", F.coalesce("component", "first").alias("component")
+        # Sets of one id are one document's.
+        texts = places.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(
+            F.min("node").alias("b"), F.max("node").alias("high")
         )
-        placed = places.join(firsts, "node", "left").withColumn(
-            "component_id", F.coalesce("component", "doc_id")
+        texts = places.join(texts.where("b < high").select("doc_id", "b"), "doc_id").where("node <> b")
+        links = links.unionByName(more).unionByName(texts.select(F.col("node").alias("a"), "b"))
+        found = components(links, scratch, "second-round").withColumnRenamed("id", "node")
+        linked = scratch.keep(firsts.join(found, "node"), "linked")
+        least = linked.groupBy("component").agg(F.min("first").alias("least"))
+        linked = linked.join(least, "component").select("node", "least")
+        placed = places.join(firsts, "node", "left").join(linked, "node", "left").withColumn(
+            "component_id", F.coalesce("least", "first", "doc_id")
         )
         kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
-        return settled(
-            placed.withColumn("kept", kept).select("doc_id", "n_shingles", "component_id", "kept")
-        )
+        component = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
+        placed = placed.withColumn("kept", kept | F.col("doc_id").isNull()).withColumn("component_id", component)
+        return settled(placed.select("doc_id", "n_shingles", "component_id", "kept"))
 
 
 def sql(settings: Settings = Settings()) -> str:

@@ -603,7 +603,7 @@ def test_stages_in_order(spark, sf_dir, tmp_path):
     kept = {r.doc_id for r in quality_rules.report(spark.read.parquet(f"{sf_dir}/documents.parquet")).where("kept").collect()}
     assert seen[0][2] == kept
     sets = {r.doc_id: shingles(r.text) for r in spark.read.parquet(str(tmp_path / "quality_classifier")).collect()}
-    groups = plain_components(sets, 85)
+    groups = plain_components(sets, corpus_pipeline.NEAR.similar)
     assert seen[2][2] == {i for i, g in groups.items() if i == g}
     assert out.count() == docs.count()
     assert corpus_pipeline.run(spark, sf_dir).count() == out.count()
@@ -624,12 +624,25 @@ def test_stage_links_at_four_fifths(spark, documents, sf_dir):
     assert (1 - (near.similar / 100) ** near.rows) ** near.bands < 1e-9
 
 
+def test_one_id_with_several_texts(spark, documents, sf_dir):
+    """A document is linked by any of its texts, none of which is lost."""
+    one, other = prose(801, 120), prose(802, 120)
+    near = [" ".join(t.split()[:-2] + ["changed", "end"]) for t in (one, other)]
+    rows = documents((1, one), (1, other), (1, one), (2, near[0]), (3, near[1]), (4, prose(803, 120)), (None, one))
+    found = {(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(rows).collect()}
+    assert found == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (None, None, True)}
+    left = corpus_pipeline.near_duplicate_stage(spark, rows, sf_dir).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in left) == sorted([(0, one), (1, one), (1, other), (4, prose(803, 120))])
+
+
 def test_stages_take_odd_rows(spark, odd, sf_dir):
     for name, stage in corpus_pipeline.STAGES[:4]:
         for given in (clashing(odd), clashing(odd).limit(0)):
             out = stage(spark, given, sf_dir)
             assert out.columns == given.columns, name
             assert out.count() <= given.count() * 2
+    for given in (clashing(odd), clashing(odd).limit(0)):
+        assert corpus_pipeline.encoding_stage(spark, given, sf_dir).count() == given.count()
     left = corpus_pipeline.near_duplicate_stage(spark, odd, sf_dir)
     assert sorted(r.doc_id or 0 for r in left.collect()) == [0, 1, 2, 3, 5, 7, 8, 9, 10]
 
