@@ -10,6 +10,7 @@ unbroken run.
 from __future__ import annotations
 
 import base64
+import hashlib
 from array import array
 from collections.abc import Callable, Iterator
 
@@ -27,8 +28,8 @@ from ferryline.llm.common import in_parts, set_aside
 #: memory and saves time, and never changes the result.
 REMEMBERED, LONGEST = 200_000, 64
 
-#: Characters from which a text is split one match at a time.
-LONG_TEXT = 1_000_000
+#: Characters from which a text is split one match at a time, and ids that are decoded at once.
+LONG_TEXT, SLICE = 1_000_000, 100_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -213,13 +214,33 @@ def decode(
 
 
 def digests(documents: DataFrame, ranks: Broadcast, pattern: str) -> DataFrame:
-    """One row for each document: its number of ids, and digests of the ids and of their bytes."""
-    encoded = encode(documents.select("doc_id", "text"), ranks, pattern).drop("text")
-    decoded = decode(encoded, ranks)
-    listed = F.concat_ws(",", F.col("ids").cast("array<string>"))
-    return decoded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(listed, 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    """One row for each document: its number of ids, and digests of the ids and of the bytes they stand for.
+
+    Encoding and decoding take turns in one pass, so that a core has one Python process and ids stay in it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        convert = encoder(ranks.value[0], pattern, ranks.value[1])
+        tokens = {rank: token for token, rank in ranks.value[0].items()}
+        for batch in (part for whole in batches for part in in_parts(whole, "text")):
+            counts, of_ids, of_bytes = [], [], []
+            for data in batch.column(1):
+                found = bytearray()
+                convert(data.as_py().decode("utf-8", "replace"), found)
+                ids = np.frombuffer(found, dtype=np.int32)
+                counts.append(len(ids))
+                listed, decoded = hashlib.sha256(), hashlib.sha256()
+                for start in range(0, len(ids), SLICE):
+                    part = ids[start : start + SLICE].tolist()
+                    listed.update(("," if start else "").encode() + ",".join(map(str, part)).encode())
+                    decoded.update(b"".join(map(tokens.__getitem__, part)))
+                of_ids.append(listed.hexdigest())
+                of_bytes.append(decoded.hexdigest())
+            columns = [pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
+
+    narrow = documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    kinds = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
+    schema = T.StructType([documents.schema["doc_id"], *[T.StructField(*kind) for kind in kinds]])
+    return narrow.mapInArrow(run, schema)
