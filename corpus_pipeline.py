@@ -34,7 +34,7 @@ def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each group; of repeated rows one."""
+    """The document of the least id of each group, with all texts it has; of repeated ones each once."""
     found = minhash.near_duplicates(docs, NEAR)
     gone = settled(found.where(~F.col("kept")).select("doc_id").distinct())
     left = docs.join(broadcast_if_few(gone), "doc_id", "left_anti").select(*docs.columns)
@@ -43,7 +43,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if again.isEmpty():
         return left
     again = broadcast_if_few(again)
-    once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     others = left.join(again, "doc_id", "left_anti")
     return others.select(*docs.columns).unionByName(once.select(*docs.columns))
 
