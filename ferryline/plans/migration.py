@@ -71,8 +71,17 @@ _DOCUMENT = ("xml", "element", "refs", "uris")
 
 
 def item_facts(src_items: DataFrame) -> DataFrame:
-    """Items without their documents, whose owner is read from the document where the listing names none."""
-    return with_owner(src_items).drop(*_DOCUMENT)
+    """Items without their documents, whose owner is read from the document where the listing names none.
+
+    Many parts of a plan start from these, and documents are nearly all there is to read, so the column is read for items alone whose
+    owner is asked for and not named: a filter that the scan gets, and that skips whole row groups.
+    """
+    if "xml" not in src_items.columns and "element" not in src_items.columns:
+        return src_items
+    unasked = F.coalesce(F.col("item_type").isin("project", "scan"), F.lit(False))
+    named = src_items.where(F.col("owner_project").isNotNull() | unasked).drop(*_DOCUMENT)
+    others = with_owner(src_items.where(F.col("owner_project").isNull() & ~unasked)).drop(*_DOCUMENT)
+    return named.unionByName(others)
 
 
 def _owned(facts: DataFrame, project_map: DataFrame, files_only: bool) -> DataFrame:
@@ -99,8 +108,8 @@ def rewritten_items(
     """
     if files_only:
         src_items = src_items.where(F.col("item_type") == "project")
+    facts = item_facts(src_items) if facts is None else facts
     src_items = with_owner(src_items)
-    facts = src_items.drop(*_DOCUMENT) if facts is None else facts
     owned = with_presence(_owned(facts, project_map, files_only), dst_items)
     planned = plannable(owned.where("is_missing"))
     documents = may_be_owned(src_items, project_map)

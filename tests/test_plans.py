@@ -118,6 +118,17 @@ def test_one_parse_in_executed_plans(spark, archive, id_map, tmp_path, staged):
         assert "ReusedExchange" in final
 
 
+def test_documents_are_not_read_for_facts(spark, archive, tmp_path):
+    """Where the listing names the owner, the scan leaves the document column alone."""
+    path = str(tmp_path / "items")
+    archive["src_items"].where("item_type IN ('project', 'subject', 'experiment')").write.parquet(path)
+    leaves = migration.item_facts(spark.read.parquet(path))._jdf.queryExecution().sparkPlan().collectLeaves()
+    scans = [leaves.apply(i) for i in range(leaves.size())]
+    reading = [scan for scan in scans if "xml" in list(scan.requiredSchema().fieldNames())]
+    assert len(scans) == 2 and len(reading) == 1
+    assert "isnull(owner_project" in reading[0].dataFilters().toString()
+
+
 def test_library_runs_no_hidden_jobs():
     """No plan runs a job while it is made, nor pulls rows to the driver.
 
