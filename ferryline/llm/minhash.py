@@ -29,6 +29,9 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Throws that are made at once.
 _AT_ONCE = 4096
 
+#: Bytes of full sets that count as one member of a cell, at least.
+WEIGHT = 8192
+
 
 def mixed(values: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads them."""
@@ -167,30 +170,32 @@ def node_of(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
-def confirmed(
-    pairs: DataFrame, documents: DataFrame, firsts: DataFrame, settings: Settings, scratch: Scratch, name: str
-) -> DataFrame:
-    """The pairs ``a, b`` of sets that are similar enough, held against each other in full.
-
-    Sets are made anew from the texts, of the ``first`` document of each set that is in a pair, and joined
-    to both sides; no side of a pair is gathered by document.
-    """
-    pairs = scratch.keep(pairs, f"{name}-pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = scratch.keep(wanted.join(firsts, "node"), f"{name}-wanted")
+def full_sets(nodes: DataFrame, documents: DataFrame, firsts: DataFrame, settings: Settings) -> DataFrame:
+    """``id, shingles`` of the sets in ``nodes``, made anew from the text of the ``first`` document of each."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in in_parts(whole, "text")):
             made = [s for s in shingle_sets(batch.column(1), settings.width) if len(s)]
-            nodes = pa.array([node_of(s) for s in made], pa.int64())
-            yield pa.RecordBatch.from_arrays([nodes, pa.array([s.tobytes() for s in made], pa.binary())], names=["id", "shingles"])
+            found = pa.array([node_of(s) for s in made], pa.int64())
+            yield pa.RecordBatch.from_arrays([found, pa.array([s.tobytes() for s in made], pa.binary())], names=["id", "shingles"])
 
     narrow = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    chosen = wanted.select(F.col("first").alias("doc_id")).distinct()
+    chosen = nodes.join(firsts, "node").select(F.col("first").alias("doc_id")).distinct()
     found = narrow.join(chosen, "doc_id", "left_semi").mapInArrow(sets, "id long, shingles binary")
     # An id may have further texts, of sets that no one asked for here.
-    found = found.groupBy("id").agg(F.max("shingles").alias("shingles"))
-    found = scratch.keep(found, f"{name}-sets")
+    return found.groupBy("id").agg(F.max("shingles").alias("shingles"))
+
+
+def confirmed(
+    pairs: DataFrame, documents: DataFrame, firsts: DataFrame, settings: Settings, scratch: Scratch
+) -> DataFrame:
+    """The pairs ``a, b`` of sets that are similar enough, held against each other in full.
+
+    Full sets are joined to both sides; no side of a pair is gathered by document.
+    """
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = scratch.keep(wanted, "wanted")
+    found = scratch.keep(full_sets(wanted, documents, firsts, settings), "sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,44 +211,102 @@ def confirmed(
         found.withColumnsRenamed({"id": "b", "shingles": "right"}), "b"
     )
     links = sided.select("a", "b", "left", "right").mapInArrow(compare, "a long, b long")
-    links = scratch.keep(links, f"{name}-links")
-    for part in ("pairs", "wanted", "sets"):
-        scratch.drop(f"{name}-{part}")
+    links = scratch.keep(links, "links")
+    for part in ("wanted", "sets"):
+        scratch.drop(part)
     return links
 
 
-def _near_in_cells(cells: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs ``a, b`` of different components whose sketches agree well enough, each once."""
-    least, rows = settings.least_agreement, settings.rows
+#: What a member of an open bucket goes by from step to step.
+_MEMBER = ["bucket", "band", "id", "component"]
+
+
+def _buckets_of(table: pa.Table) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of each bucket of a cell, or of two halves of one, without the keys of the cell."""
+    order = np.lexsort([table[c].to_numpy() for c in ("right", "left", "bucket")])
+    table = table.take(pa.array(order))
+    keys = np.stack([table[c].to_numpy() for c in ("bucket", "left", "right")])
+    starts = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(0)])
+    for start, end in zip(starts, np.r_[starts[1:], len(order)], strict=True):
+        part = table.slice(start, end - start).combine_chunks()
+        taken = {c: part[c].to_numpy() for c in ("id", "band", "bucket", "half", "component")}
+        taken["apart"] = part["left"].to_numpy() != part["right"].to_numpy()
+        taken["sketch"] = np.stack([np.frombuffer(s.as_buffer(), "<u2") for s in part["sketch"]])
+        if "shingles" in part.column_names:
+            made = np.empty(len(part), object)
+            made[:] = [np.frombuffer(s.as_buffer(), np.uint64) for s in part["shingles"]]
+            taken["shingles"] = made
+        yield taken
+
+
+def _near(taken: dict[str, np.ndarray], i: int, settings: Settings) -> np.ndarray:
+    """The later members of other components whose sketches agree with that of ``i`` well enough.
+
+    Only in the first of all bands that the two sketches share, so that a pair is met once.
+    """
+    component, half = taken["component"], taken["half"]
+    others = np.arange(i + 1, len(component))
+    others = others[component[others] != component[i]]
+    if taken["apart"][i]:
+        others = others[half[others] != half[i]]
+    if not len(others):
+        return others
+    agree = taken["sketch"][others] == taken["sketch"][i]
+    close = np.count_nonzero(agree, axis=1) >= settings.least_agreement * settings.size
+    others, agree = others[close], agree[close]
+    if not len(others):
+        return others
+    shared = agree.reshape(len(others), -1, settings.rows).all(2)
+    return others[shared.argmax(1) == taken["band"][i]]
+
+
+def _with_near_ones(cells: DataFrame, settings: Settings) -> DataFrame:
+    """The members of cells that come near the threshold with one of another component."""
+
+    def run(table: pa.Table) -> pa.Table:
+        found: dict[str, list[np.ndarray]] = {c: [np.empty(0, np.int64)] for c in _MEMBER}
+        for taken in _buckets_of(table):
+            near = np.zeros(len(taken["id"]), bool)
+            for i in range(len(near) - 1):
+                others = _near(taken, i, settings)
+                near[others] = True
+                near[i] |= len(others) > 0
+            for c in _MEMBER:
+                found[c].append(taken[c][near])
+        return pa.table({c: pa.array(np.concatenate(found[c]), pa.int64()) for c in _MEMBER})
+
+    return cells.groupBy("task").applyInArrow(run, ", ".join(f"{c} long" for c in _MEMBER)).distinct()
+
+
+def _links_in_cells(cells: DataFrame, settings: Settings) -> DataFrame:
+    """Links ``a, b`` that join all components of a cell that a link joins, by the full sets.
+
+    What is joined already is not compared again, so a cell gives fewer links than it has members.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        order = np.lexsort([table[c].to_numpy() for c in ("right", "left", "bucket")])
-        taken = {c: table[c].to_numpy()[order] for c in ("id", "band", "bucket", "left", "right", "half", "component")}
-        data = table["sketch"].combine_chunks()
-        sketched = np.frombuffer(b"".join(data.to_pylist()), "<u2").reshape(len(order), -1)[order]
-        keys = np.stack([taken[c] for c in ("bucket", "left", "right")])
-        starts = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(0)])
         first, second = [], []
-        for start, end in zip(starts, np.r_[starts[1:], len(order)], strict=True):
-            ids, parts = taken["id"][start:end], sketched[start:end]
-            component, half = taken["component"][start:end], taken["half"][start:end]
-            apart = taken["left"][start] != taken["right"][start]
+        for taken in _buckets_of(table):
+            ids, sets = taken["id"], taken["shingles"]
+            component = taken["component"] = taken["component"].copy()
+            values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+            lengths = np.array([len(s) for s in sets])
+            ends = np.cumsum(lengths)
+            sets = [codes[end - n : end] for n, end in zip(lengths, ends, strict=True)]
+            mine = np.zeros(len(values), np.int64)
             for i in range(len(ids) - 1):
-                others = np.arange(i + 1, len(ids))
-                others = others[component[others] != component[i]]
-                if apart:
-                    others = others[half[others] != half[i]]
+                others = _near(taken, i, settings)
                 if not len(others):
                     continue
-                agree = parts[others] == parts[i]
-                others, agree = (x[agree.mean(1) >= least] for x in (others, agree))
-                if not len(others):
-                    continue
-                # In the first of all bands that two sketches share, and in no other.
-                shared = agree.reshape(len(others), -1, rows).all(2)
-                others = others[shared.argmax(1) == taken["band"][start]]
-                first += [ids[i]] * len(others)
-                second += ids[others].tolist()
+                mine[sets[i]] = 1
+                starts = np.cumsum(np.r_[0, lengths[others][:-1]])
+                both = np.add.reduceat(mine[np.concatenate([sets[j] for j in others])], starts)
+                mine[sets[i]] = 0
+                linked = others[100 * both >= settings.similar * (lengths[i] + lengths[others] - both)]
+                joined, which = np.unique(component[linked], return_index=True)
+                first += [ids[i]] * len(joined)
+                second += ids[linked[which]].tolist()
+                component[np.isin(component, joined)] = component[i]
         return pa.table({"a": pa.array(first, pa.int64()), "b": pa.array(second, pa.int64())})
 
     return cells.groupBy("task").applyInArrow(run, "a long, b long")
@@ -252,11 +315,12 @@ def _near_in_cells(cells: DataFrame, settings: Settings) -> DataFrame:
 def near_duplicates(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``documents``.
 
-    Documents with the same set are one node, and a node goes by its set's 64-bit hash through all steps. In each bucket of a
-    band all members are first held against the one that shares most buckets with others, and
-    what is confirmed is joined to components. Only buckets that still hold several
-    components are looked into pair by pair, in cells of a bounded size, by their sketches; pairs whose
-    sketches come near the threshold are confirmed on the full sets. No pair is left out
+    Documents with the same set are one node, and a node goes by its set's 64-bit hash through all steps. The middle of a
+    bucket of a band is the member that shares most buckets with others. Each node is first held against the
+    middle that it meets most often, and what is confirmed is joined to components. Only buckets that still hold several
+    components are looked into pair by pair, in cells of a bounded size: by sketches for the members that come
+    near the threshold with one of another component, then among these on the full sets. Pairs are compared where they
+    lie and never become rows; a cell gives the links that join its components. No pair is left out
     but those that no band finds or whose sketch is far off, both of a chance near 10 ** -9.
 
     Texts that are null or have no words have no shingles and are linked with nothing. Rows that
@@ -282,12 +346,11 @@ def near_duplicates(documents: DataFrame, settings: Settings = Settings()) -> Da
         degrees = shared.groupBy("id").agg(F.sum("size").alias("degree"))
         ranked = shared.join(degrees, "id")
         middles = ranked.groupBy("bucket").agg(F.max(F.struct("degree", "id")).alias("middle"))
-        stars = shared.join(middles, "bucket").select(F.col("id").alias("a"), F.col("middle.id").alias("b"))
-        stars = stars.where("a <> b").select(
-            F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
-        )
-        stars = scratch.keep(stars.distinct(), "stars")
-        links = confirmed(stars, documents, firsts, settings, scratch, "first")
+        stars = shared.join(middles, "bucket").select(F.col("id").alias("a"), "middle").where("a <> middle.id")
+        stars = stars.groupBy("a", "middle").agg(F.count(F.lit(1)).alias("shared"))
+        stars = stars.groupBy("a").agg(F.max(F.struct("shared", "middle")).alias("best"))
+        stars = stars.select("a", F.col("best.middle.id").alias("b"))
+        links = confirmed(scratch.keep(stars, "stars"), documents, firsts, settings, scratch)
         joined = scratch.keep(components(links, scratch, "first-round"), "joined")
 
         labelled = shared.drop("size").join(joined, "id", "left").withColumn(
@@ -301,11 +364,19 @@ def near_duplicates(documents: DataFrame, settings: Settings = Settings()) -> Da
         )
         several = scratch.keep(several.where("low < high").select("bucket", "size"), "several")
         total = several.agg(F.sum("size")).first()[0] or 0
-        open_entries = labelled.join(several.select("bucket"), "bucket", "left_semi")
-        near = _near_in_cells(in_cells(open_entries.join(nodes, "id"), several, total), settings)
-        near = near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        near = near.distinct().join(stars, ["a", "b"], "left_anti")
-        more = confirmed(near, documents, firsts, settings, scratch, "second")
+        open_entries = labelled.join(several.select("bucket"), "bucket", "left_semi").join(nodes, "id")
+        near = scratch.keep(_with_near_ones(in_cells(open_entries, several, total), settings), "near")
+        wanted = scratch.keep(near.select(F.col("id").alias("node")).distinct(), "near-wanted")
+        sets = scratch.keep(full_sets(wanted, documents, firsts, settings), "near-sets")
+        members = near.join(sets, "id").join(nodes, "id")
+        # Cells of long sets have fewer members.
+        weight = F.ceil(F.sum(F.length("shingles")) / WEIGHT)
+        sizes = near.join(sets, "id").groupBy("bucket").agg(
+            F.greatest(F.count(F.lit(1)), weight).cast("long").alias("size")
+        )
+        sizes = scratch.keep(sizes, "near-sizes")
+        total = sizes.agg(F.sum("size")).first()[0] or 0
+        more = scratch.keep(_links_in_cells(in_cells(members, sizes, total), settings), "more")
 
         # Sets of one id are one document's.
         texts = places.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(

@@ -309,6 +309,30 @@ def test_near_groups_by_brute_force(documents, monkeypatch):
     assert 25 < len(set(expected.values())) < len(rows)
 
 
+def test_pairs_of_a_large_group_never_become_rows(documents, monkeypatch):
+    """Near copies that mostly stay below the threshold: tables of pairs grow with the group, not with its square."""
+    rng, made, keep = random.Random(5), {}, Scratch.keep
+
+    def counted(self, rows, name):
+        out = keep(self, rows, name)
+        if out.columns == ["a", "b"]:
+            made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", counted)
+    base, rows = prose(900, 200).split(), []
+    for i in range(500):
+        words = list(base)
+        for place in rng.sample(range(200), 4):
+            words[place] = f"x{i}y{place}"
+        rows.append((i, " ".join(words)))
+    found = minhash.near_duplicates(documents(*rows), corpus_pipeline.NEAR).collect()
+    expected = plain_components({i: shingles(t) for i, t in rows}, corpus_pipeline.NEAR.similar)
+    assert {r.doc_id: r.component_id for r in found} == expected
+    assert 100 < len(set(expected.values())) < len(rows)
+    assert made and max(made.values()) < 2 * len(rows)
+
+
 def test_odd_texts_are_linked_with_nothing(odd):
     found = minhash.near_duplicates(clashing(odd)).collect()
     assert len(found) == 11
