@@ -3,6 +3,7 @@
 import math
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -238,6 +239,30 @@ def test_symbols_and_contexts_grow_with_the_texts(documents):
     assert found[1000].score > found[1000].base_score + 4
 
 
+def test_tables_of_the_tree_are_small(documents, monkeypatch):
+    """What is kept at once, of long texts with many different pairs, in bytes for each token."""
+    held, peaks, keep, drop = {}, [0], Scratch.keep, Scratch.drop
+
+    def kept(self, rows, name):
+        made = keep(self, rows, name)
+        files = Path(f"{self.folder}/{name}".removeprefix("file:")).rglob("*.parquet")
+        held[name] = sum(f.stat().st_size for f in files)
+        peaks.append(sum(held.values()))
+        return made
+
+    def dropped(self, name):
+        held.pop(name)
+        drop(self, name)
+
+    monkeypatch.setattr(Scratch, "keep", kept)
+    monkeypatch.setattr(Scratch, "drop", dropped)
+    rng, rows = random.Random(7), []
+    for i in range(400):
+        rows.append((i, " ".join(f"w{int(rng.paretovariate(0.4)) % 3000}" for _ in range(1000))))
+    found = suffix_tree.scores(documents(*rows)).collect()
+    assert 0 < max(peaks) < 6 * sum(r.n_tokens for r in found)
+
+
 def test_odd_texts_are_scored(odd):
     found = suffix_tree.scores(clashing(odd)).collect()
     assert len(found) == 11
