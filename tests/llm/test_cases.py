@@ -239,6 +239,17 @@ def test_symbols_and_contexts_grow_with_the_texts(documents):
     assert found[1000].score > found[1000].base_score + 4
 
 
+def test_contexts_in_parts_are_those_of_one_bucket(documents):
+    """What follows a frequent context is dealt to several buckets without a change to the scores."""
+    rng, rows = random.Random(8), []
+    for i in range(60):
+        rows.append((i, " ".join(f"w{int(rng.paretovariate(0.5)) % 300}" for _ in range(200))))
+    frame = documents(*rows).repartition(3)
+    settings = [suffix_tree.Settings(block_tokens=2000, part_tokens=n) for n in (100, 10**9)]
+    dealt, whole = ({r.doc_id: r.score for r in suffix_tree.scores(frame, s).collect()} for s in settings)
+    assert dealt == pytest.approx(whole, rel=1e-6)
+
+
 def test_tables_of_the_tree_are_small(documents, monkeypatch):
     """What is kept at once, of long texts with many different pairs, in bytes for each token."""
     held, peaks, keep, drop = {}, [0], Scratch.keep, Scratch.drop
