@@ -10,6 +10,7 @@ a corpus is one number for each row of the table.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -24,6 +25,9 @@ from ferryline.llm.common import in_parts, opened, set_aside, share
 #: Distinct words a task remembers at most: memory only, never the result.
 REMEMBERED = 300_000
 
+#: Bytes of words whose n-grams are hashed at once: memory only, never the result.
+PIECE = 1 << 16
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -58,6 +62,79 @@ def twice(settings: Settings) -> int:
     return zlib.crc32(b"< >") % settings.rows
 
 
+def _crc_table() -> np.ndarray:
+    """What a CRC-32 turns to by one byte, see :func:`_fed`."""
+    values = np.arange(256)
+    for _ in range(8):
+        values = (values >> 1) ^ (values & 1) * 0xEDB88320
+    return values
+
+
+CRC_TABLE = _crc_table()
+
+
+def _fed(crcs: np.ndarray, octets: np.ndarray) -> np.ndarray:
+    """Unfinished (inverted) CRC-32s, each fed one more byte."""
+    return CRC_TABLE[(crcs ^ octets) & 0xFF] ^ (crcs >> 8)
+
+
+def word_sums(
+    words: list[bytes], weights: np.ndarray, settings: Settings
+) -> tuple[np.ndarray, np.ndarray]:
+    """For each word the sum of ``weights`` (integers) over its :func:`features`, and their number.
+
+    All words are hashed together: n-grams that start at one character grow by a character at a time.
+    """
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    joined = b"<" + b"><".join(words) + b">"
+    try:
+        joined.decode()
+    except UnicodeDecodeError:
+        words = [w.decode("utf-8", "replace").encode() for w in words]
+        joined = b"<" + b"><".join(words) + b">"
+    stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 2)
+    starts = np.concatenate([[0], stops[:-1]])
+    opening = zlib.crc32(b"<")
+    whole = np.fromiter((zlib.crc32(w, opening) for w in words), np.int64, len(words))
+    whole = _fed(whole ^ 0xFFFFFFFF, ord(">")) ^ 0xFFFFFFFF
+    sums, counts = weights[whole % settings.rows], np.ones(len(words), np.int64)
+    beyond = 4 * settings.longest  # bytes that the n-grams of a piece reach into the next at most
+    octets = np.frombuffer(joined + bytes(beyond), np.uint8)
+    for begin in range(0, len(joined), PIECE):
+        end = min(begin + PIECE, len(joined))
+        piece = octets[begin : end + beyond]
+        at = np.flatnonzero((piece & 0xC0) != 0x80)  # characters
+        sizes = np.diff(at)
+        n = int(np.searchsorted(at, end - begin))
+        if not n:
+            continue
+        first, last = np.searchsorted(stops, [begin, end - 1], side="right")
+        held = slice(first, last + 1)
+        edges = np.searchsorted(at[:n], np.maximum(starts[held] - begin, 0))
+        limits = np.repeat(stops[held] - begin, np.diff(edges, append=n))
+        crcs = np.full(n, 0xFFFFFFFF)
+        found, number = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+        for size in range(1, settings.longest + 1):
+            here, wide = at[size - 1 : size - 1 + n], sizes[size - 1 : size - 1 + n]
+            crcs = _fed(crcs, piece[here])
+            for k in range(1, 4):
+                longer = np.flatnonzero(wide > k)
+                if not len(longer):
+                    break
+                crcs[longer] = _fed(crcs[longer], piece[here[longer] + k])
+            if size >= settings.shortest:
+                inside = at[size : size + n] <= limits
+                found[1:] += weights[(crcs ^ 0xFFFFFFFF) % settings.rows] * inside
+                number[1:] += inside
+        np.cumsum(found, out=found)
+        np.cumsum(number, out=number)
+        until = np.append(edges[1:], n)
+        sums[held] += found[until] - found[edges]
+        counts[held] += number[until] - number[edges]
+    return sums, counts
+
+
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Words of all texts as places in the list of distinct ones, and where each text ends."""
     listed: list[bytes] = []
@@ -90,31 +167,23 @@ class Model:
 
     def scorer(self) -> Callable[[pa.Array], np.ndarray]:
         """A function from texts (as bytes) to probabilities of class 1."""
-        remembered: dict[bytes, tuple[float, int]] = {}
-
-        def of(word: bytes) -> tuple[float, int]:
-            known = remembered.get(word)
-            if known is None:
-                rows = features(word, self.settings)
-                known = float(self.weights[rows].sum()), len(rows)
-                if len(remembered) >= REMEMBERED:
-                    remembered.clear()
-                remembered[word] = known
-            return known
+        # Whole numbers, whose sum has no order; that of a text of 2 GB, the longest, fits 63 bits.
+        sizes = self.settings.longest - self.settings.shortest + 1
+        one = 2.0 ** (31 - math.frexp(float(np.abs(self.weights).max()) * (sizes + 2))[1])
+        weights = np.rint(self.weights.astype(np.float64) * one).astype(np.int64)
 
         def score(texts: pa.Array) -> np.ndarray:
             codes, ends, distinct = _tokens(texts)
-            sums = np.zeros(len(codes) + 1)
-            counts = np.zeros(len(codes) + 1)
-            if len(codes):
-                per_word = np.array([of(w) for w in distinct])
-                np.cumsum(per_word[codes, 0], out=sums[1:])
-                np.cumsum(per_word[codes, 1], out=counts[1:])
+            sums = np.zeros(len(codes) + 1, np.int64)
+            counts = np.zeros(len(codes) + 1, np.int64)
+            of_words, numbers = word_sums(distinct, weights, self.settings)
+            np.cumsum(of_words[codes], out=sums[1:])
+            np.cumsum(numbers[codes], out=counts[1:])
             total = sums[ends[1:]] - sums[ends[:-1]]
             number = counts[ends[1:]] - counts[ends[:-1]]
             same = repeats(codes, ends)
-            total += same * float(self.weights[twice(self.settings)])
-            odds = total / np.maximum(number + same, self.settings.least) + self.bias
+            total += same * weights[twice(self.settings)]
+            odds = total / one / np.maximum(number + same, self.settings.least) + self.bias
             return 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
 
         return score

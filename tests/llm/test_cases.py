@@ -2,6 +2,7 @@
 
 import math
 import random
+import sys
 import zlib
 from pathlib import Path
 
@@ -643,6 +644,50 @@ def test_repeats_are_counted():
     assert subword.repeats(np.empty(0, int), np.array([0, 0])).tolist() == [0]
 
 
+def test_words_are_hashed_together_as_one_by_one(monkeypatch):
+    weights = np.arange(1 << 16) * 7 + 1
+    words = [b"a", b"<", b"<<>>", b"\x00", b"\x00" * 3, b"\xff\xfe", b"\xf0\x9f\x98", b"\xed\xa0\x80z", b"x" * 999]
+    words += [w.encode() for w in ("é", "日本語テキスト", "😀" * 5, "é😀a日" * 300, "e\u0301\ufffd", "plain")]
+    valid = [w for w in words if w.decode("utf-8", "ignore").encode() == w]
+    for settings in (subword.Settings(), subword.Settings(shortest=1, longest=2), subword.Settings(longest=6, rows=1000)):
+        rows = {w: subword.features(w, settings) for w in words}
+        for piece in (3, 64, subword.PIECE):
+            monkeypatch.setattr(subword, "PIECE", piece)
+            for given in (words, words[::-1], valid, [b"a"], []):
+                sums, counts = subword.word_sums(given, weights, settings)
+                assert sums.tolist() == [weights[rows[w]].sum() for w in given]
+                assert counts.tolist() == [len(rows[w]) for w in given]
+
+
+def test_classifier_scores_without_calls_for_each_ngram():
+    """Also, equal texts have equal scores wherever they lie, and the score is that of the features."""
+    rng = np.random.default_rng(3)
+    settings = subword.Settings()
+    model = subword.Model(rng.normal(size=settings.rows).astype(np.float32), 0.1, settings)
+    words = ["".join(rng.choice(list("abcdefé"), rng.integers(3, 14))) for _ in range(3000)]
+    texts = [" ".join(words[i : i + 30]).encode() for i in range(0, 3000, 30)]
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    rate = model.scorer()
+    sys.setprofile(count)
+    try:
+        found = rate(pa.array(texts * 2, pa.binary()))
+    finally:
+        sys.setprofile(None)
+    assert calls < 6 * len(words)
+    assert found[:100].tolist() == found[100:].tolist()
+    for text, score in zip(texts, found, strict=False):
+        rows = np.concatenate([subword.features(w, settings) for w in text.split()])
+        odds = model.weights[rows].astype(float).sum() / max(len(rows), settings.least) + model.bias
+        assert score == pytest.approx(1 / (1 + np.exp(-odds)), abs=1e-6)
+    strong = subword.Model(np.full(settings.rows, 1e9, np.float32), -1e9 + 2, settings).scorer()
+    assert strong(pa.array([texts[0] * 1000, b""], pa.binary())) == pytest.approx([1 / (1 + math.exp(-2)), 0], abs=1e-6)
+
+
 # ------------------------------------------------------------------ pipeline
 
 
