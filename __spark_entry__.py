@@ -1324,14 +1324,14 @@ def _(a: Archive) -> DataFrame:
     return metadata.metadata_for_destination(a["meta"], _id_map(a))
 
 
-def _plans(a: Archive, **options) -> DataFrame:
+def _plans(a: Archive, rows: DataFrame, **options) -> DataFrame:
     settings = listings.unwrap_resultset(
         a["cfg_listing"], "listing", "path: STRING, contents: STRING"
     )
     plans = migration.migration_plan(
         migration.Inputs(
             project_map=a["pm"],
-            src_items=_documents(a),
+            src_items=rows,
             dst_items=a["dst_before"],
             dst_after=a["dst_after"],
             src_datatypes=a["dt_src"],
@@ -1388,7 +1388,8 @@ _CHECK_COUNTS = """
         {_COMMON_COUNTS}""",
 )
 def _(a: Archive) -> DataFrame:
-    return _plans(a)
+    staging = _staged(a)
+    return _plans(a, a["src_items"], staging=staging)
 
 
 @_query(
@@ -1400,4 +1401,4 @@ def _(a: Archive) -> DataFrame:
         {_COMMON_COUNTS}""",
 )
 def _(a: Archive) -> DataFrame:
-    return _plans(a, files_only=True)
+    return _plans(a, _documents(a), files_only=True)
