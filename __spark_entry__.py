@@ -662,8 +662,8 @@ def _(a: Archive) -> DataFrame:
 )
 def _(a: Archive) -> DataFrame:
     """An empty destination: the whole tree is planned at once."""
-    nothing = a["dst_before"].limit(0)
-    plan, errors = migration.create_plan(_documents(a), nothing, a["pm"], _id_map(a).limit(0))
+    staging = _staged(a)
+    plan, errors = migration.create_plan(*_empty_destination(a, a["src_items"]), staging=staging)
     found = plan.select(F.lit("create").alias("part"), "item_type", F.col("status").alias("detail"))
     failed = errors.select(F.lit("violation").alias("part"), "item_type", F.col("check").alias("detail"))
     rows = found.unionByName(failed).groupBy("part", "item_type", "detail")
